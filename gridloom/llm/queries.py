@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, media, minhash, packing, quality, toxicity, warc
+from gridloom.llm import ann, bpe, media, minhash, packing, quality, substring, toxicity, warc
 from gridloom.llm.common import held_out, read_table
 
 
@@ -43,6 +43,10 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.col("digest").alias("media_sha256"), "feature", "width", "height")
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
     out = quality.score(docs, quality.fit(docs, labels))
@@ -74,6 +78,10 @@ FROM s JOIN reach ON reach.a = s.doc_id GROUP BY s.doc_id, shingles
 """
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
     out = toxicity.score(docs, toxicity.fit(docs, labels))
@@ -85,8 +93,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_packing": op3_packing,
     "op5_media": op5_media,
+    "op6_substring": op6_substring,
     "op7_quality": op7_quality,
     "op8_minhash": op8_minhash,
+    "op9_ann": op9_ann,
     "op10_toxicity": op10_toxicity,
 }
 
