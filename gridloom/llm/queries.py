@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import ann, bpe, media, minhash, packing, quality, substring, toxicity, warc
+from gridloom.llm import ann, bpe, media, minhash, packing, pii, quality, substring, toxicity, warc
 from gridloom.llm.common import held_out, read_table
 
 
@@ -37,6 +39,15 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def digest(_: str, base: list[pii.Span], every: list[pii.Span]) -> tuple:
+        joined, whole = (",".join(f"{k}:{a}:{b}" for k, a, b in s) for s in (base, every))
+        return *(sum(s[0] == k for s in base) for k in pii.KINDS), hashlib.sha256(joined.encode()).hexdigest(), whole
+
+    columns = [*((f"n_{k}", "bigint", pa.int64()) for k in pii.KINDS), ("base_sha256", "string", pa.string()), ("spans", "string", pa.string())]
+    return pii.find(read_table(spark, sf_dir, "documents"), pii.fit(), digest, columns)
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     out = media.media_columns(docs)
@@ -92,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_warc": op2_warc,
     "op3_packing": op3_packing,
+    "op4_pii": op4_pii,
     "op5_media": op5_media,
     "op6_substring": op6_substring,
     "op7_quality": op7_quality,
