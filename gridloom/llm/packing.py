@@ -27,11 +27,11 @@ from gridloom.llm.common import map_batches, text_bytes
 
 CAPACITY = 4096
 #: Rests that are packed together, at most; bounds the memory of a task and the work of the differencing.
-BLOCK_RESTS = 1024
+BLOCK_RESTS = 512
 #: Bytes of ids after which a block ends early; a memory bound.
 BLOCK_BYTES = 32 << 20
 #: Words whose ids a worker remembers, and the longest of them; a memory bound without influence on results.
-CACHED_WORDS, CACHED_BYTES = 1_000_000, 48
+CACHED_WORDS, CACHED_BYTES = 2_000_000, 48
 #: New words are encoded this many at a time, with a mark between them that no other word's ids hold: a word with the
 #: mark in it is encoded alone.
 JOINED, MARK = 100, b"~"
@@ -47,10 +47,14 @@ class WordIds:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # ASCII letters are their own normal form and byte symbols, and a word of them is one match of the pattern
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         (self.mark,) = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
         self.ids: dict[bytes, bytes] = {}
 
@@ -67,30 +71,47 @@ class WordIds:
         raw = got.tobytes()
         return [raw[a:b] for a, b in zip([0, *(x + 4 for x in ends)], [*ends, len(raw)], strict=True)]
 
-    def encode(self, batch: list[bytes]) -> list[bytes]:
-        split = [x.split() for x in batch]
-        ids = self.ids
-        new = {w for words in split for w in words if w not in ids}
-        extra: dict[bytes, bytes] = {}
-        if new:
-            if len(ids) > CACHED_WORDS:
-                ids.clear()
-                new = {w for words in split for w in words}
-            todo = list(new)
-            plain = [w for w in todo if MARK not in w]
+    def _learn(self, words: set[bytes], into: dict[bytes, bytes]) -> None:
+        """Encodes words that are not known yet."""
+        letters, other, marked = [], [], []
+        for w in words:
+            (letters if w.isalpha() else marked if MARK in w else other).append(w)
+        for tokenizer, plain in ((self.letters, letters), (self.tokenizer, other)):
             for at in range(0, len(plain), JOINED * 64):
                 parts = [plain[i : i + JOINED] for i in range(at, min(at + JOINED * 64, len(plain)), JOINED)]
-                found = self.tokenizer.encode_batch_fast([b" ~ ".join(p).decode() for p in parts], add_special_tokens=False)
+                found = tokenizer.encode_batch_fast([b" ~ ".join(p).decode() for p in parts], add_special_tokens=False)
                 for part, e in zip(parts, found, strict=True):
-                    for w, x in zip(part, self._split(e.ids), strict=True):
-                        (ids if len(w) <= CACHED_BYTES else extra)[w] = x
-            for w in todo:
-                if MARK in w:
-                    e = self.tokenizer.encode(w.decode(), add_special_tokens=False)
-                    (ids if len(w) <= CACHED_BYTES else extra)[w] = np.array(e.ids, "<u4").tobytes()
-        if extra:
-            return [b"".join([ids.get(w) if len(w) <= CACHED_BYTES else extra[w] for w in words]) for words in split]
-        return [b"".join([ids[w] for w in words]) for words in split]
+                    into.update(zip(part, self._split(e.ids), strict=True))
+        for w in marked:
+            into[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode(self, batch: list[bytes]) -> list[bytes]:
+        if len(self.ids) > CACHED_WORDS:
+            self.ids.clear()
+        split = [x.lower().split() for x in batch]  # the tokenizer lowers letters anyhow
+        found = [list(map(self.ids.get, words)) for words in split]
+        gaps: list[tuple[int, int]] = []
+        new: set[bytes] = set()
+        for i, ids in enumerate(found):
+            at = -1
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                gaps.append((i, at))
+                new.add(split[i][at])
+        if new:
+            # a letter and a comma or full stop after it are never one match, so such words come from their stems
+            ended = [w for w in new if w[-1] in b",." and w[-2:-1].isalpha()]
+            stems = {w[:-1] for w in ended}
+            need = new.difference(ended) | stems.difference(self.ids) | {b",", b"."}
+            fresh: dict[bytes, bytes] = {}
+            self._learn(need, fresh)
+            for w in ended:
+                stem = w[:-1]
+                fresh[w] = (fresh[stem] if stem in fresh else self.ids[stem]) + fresh[w[-1:]]
+            for i, at in gaps:
+                found[i][at] = fresh[split[i][at]]
+            self.ids.update(x for x in fresh.items() if len(x[0]) <= CACHED_BYTES)
+        return [b"".join(ids) for ids in found]
 
 
 def differencing(sizes: list[int], count: int) -> list[list[int]]:
