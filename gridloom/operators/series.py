@@ -62,6 +62,14 @@ def read_series(spark: SparkSession, path: str, *, model: str | None = None, chu
     return out.where(where) if where else out
 
 
+def lattice(df: DataFrame, ts: str, lay: plans.Layout, w: tuple[int, int]) -> DataFrame:
+    """A table's rows in the closed window, with the number of the object and the slot that each would lie in."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    number = F.floor(at / F.lit(lay.span)).cast("long")
+    slot = F.call_function("div", at - number * F.lit(lay.span), F.lit(lay.step))
+    return df.where(at.between(*w)).withColumns({"chunk": number, "slot": slot})
+
+
 def _declared(spark: SparkSession, dimensions: list[str], options: dict) -> DataFrame:
     """No rows, with the schema that the declarations alone give."""
     variable = options.get("variable")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -69,3 +71,12 @@ def version(spark: SparkSession, path: str) -> str:
         f = files.next()
         seen.append(f"{f.getPath().getName()} {f.getLen()} {f.getModificationTime()}")
     return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name that all executors see: below spark.checkpoint.dir, which is set here only where it is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="gridloom-shared-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/gridloom/{name}-{uuid.uuid4().hex}"
