@@ -20,6 +20,7 @@ from gridloom.plans import domains, identity, metrics
 from gridloom.plans.meta import CubeMeta, check_names
 from gridloom.plans.select import Conditions, Selection, extract, plan
 from gridloom.sources.cubes import ChunkCube, TableCube
+from gridloom.workers import importable
 
 Source = str | ChunkCube | TableCube
 
@@ -120,6 +121,7 @@ def _bind_grid(meta: CubeMeta, names, grid, spatial, domain) -> tuple[Grid | Non
 
 def bind(spark: SparkSession, source: Source, *, dimensions=None, grid=None, spatial_axes=None, domain=None, include_source=False, valid_times=None, axes=None, variable=None) -> Bound:
     """Checks all declarations of a scan."""
+    importable(spark)
     opened = open_source(spark, source)
     meta = opened.meta.select(variable)
     names = meta.declared(dimensions)
