@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.workers import importable
+
 #: Rows in one Arrow batch handed to Python. Texts vary from bytes to megabytes, so batches are kept short.
 BATCH_ROWS = 256
 
@@ -23,7 +25,8 @@ def session_of(df: DataFrame) -> SparkSession:
 
 
 def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the Arrow batches of Python stages by rows and by bytes, for memory."""
+    """Bounds the Arrow batches of Python stages by rows and by bytes, for memory; sees to it that workers find this package."""
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 

@@ -213,13 +213,13 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = CA
     """(keep, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) of every piece; ``ids`` are the piece's
     ids as little-endian unsigned 32-bit integers."""
     end = end_id.to_bytes(4, "little")
-    key_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[dict(df.dtypes)[keep]]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         coder = WordIds.of(tokenizer_path)
         task = TaskContext.get()
         counter = (task.partitionId() if task else 0) << 40
         docs: list[tuple[object, bytes]] = []
+        key_kind = None
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal counter
@@ -241,6 +241,7 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = CA
 
         held = 0
         for b in batches:
+            key_kind = b.column(0).type
             for key, ids in zip(b.column(0).to_pylist(), coder.encode(text_bytes(b.column(1))), strict=True):
                 docs.append((key, ids + end))
                 held += len(ids)

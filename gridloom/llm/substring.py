@@ -161,7 +161,8 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = R
     columns = docs.columns
     names = [f"_c{i}" for i in range(len(columns))]
     kinds = dict(docs.dtypes)
-    joined = docs.join(lists.withColumnRenamed(keep, "_key"), F.col(keep).cast("long") == F.col("_key"), "left")
+    named = docs.toDF(*names)
+    joined = named.join(lists.withColumnRenamed(keep, "_key"), named[names[columns.index(keep)]].cast("long") == F.col("_key"), "left")
     where = columns.index(text)
     schema = ", ".join([*(f"{n} {kinds[c]}" for n, c in zip(names, columns, strict=True)), "n_chunks_removed int, n_words_removed int, repeats_of array<bigint>"])
 
@@ -178,5 +179,4 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = R
             arrays[where] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(removed, pa.int32()), pa.array(words, pa.int32()), pa.array(of, pa.list_(pa.int64()))], names=[*names, "n_chunks_removed", "n_words_removed", "repeats_of"])
 
-    ordered = joined.select(*(F.col(c).alias(n) for c, n in zip(columns, names, strict=True)), "_places", "_of")
-    return map_batches(ordered, run, schema).withColumnsRenamed(dict(zip(names, columns, strict=True)))
+    return map_batches(joined.select(*names, "_places", "_of"), run, schema).withColumnsRenamed(dict(zip(names, columns, strict=True)))
