@@ -28,8 +28,9 @@ from gridloom.llm.common import discard, map_batches, materialize, text_bytes
 RADIUS = 4
 #: Words after which a chunk without a cut ends.
 LONGEST = 64
-#: Words in a run of repeated chunks from which it is removed.
-MIN_WORDS = 12
+#: Words in a run of repeated chunks from which it is removed. Of a passage of 51 words, 38 lie in such a run as a rule, and 20
+#: or more in 99 of 100; shorter repeats (a licence line, a greeting) are left alone.
+MIN_WORDS = 20
 
 _G = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
