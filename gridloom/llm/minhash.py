@@ -6,10 +6,11 @@ once. Each class representative gets a fast similarity sketch (Dahlgaard, Knudse
 element falls into a random bin with a value that grows with the round, and from round t on into bin (round - t), so that
 every one of the t coordinates fills after at most 2t rounds. Bands of coordinates make buckets.
 
-In each bucket the least id is compared with all other members. While members of a bucket are in different components,
-members outside its largest component take turns at being compared with all that are not in their own component, few at
-first and twice as many in each round, until each of them had its turn: then no pair of different components is left
-uncompared. Pairs whose sketches agree too little to be links are dropped; all others are confirmed on the full sets.
+In each bucket the least id is compared with all other members. Where members of a bucket are then in different
+components, a few members of its largest one are compared with all outside it, twice. What is still outside is compared
+with every member of another component, in blocks of buckets that share members. So no pair of a bucket is left
+uncompared unless it is in one component, and large groups of copies cost a few comparisons for each member. Pairs whose
+sketches agree too little to be links are dropped; all others are confirmed on the full sets.
 
 Null texts and texts without words have an empty set and link with nothing; a null id links with nothing and is kept.
 Rows that repeat an id share its component; equal texts are always in one component.
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import discard, map_batches, materialize, text_bytes
@@ -31,12 +32,15 @@ from gridloom.llm.components import components
 
 #: Coordinates, and those in each band. A pair at similarity 0.8 misses all 32 bands with probability 5e-8.
 COORDINATES, BAND = 128, 4
-#: Below this share of agreeing coordinates a pair at similarity 0.8 lies more than five standard deviations off.
-AGREE = 0.6
-#: Members of a bucket that take their turn in its second round; doubled in each round after.
-TURNS = 4
+#: A pair at similarity 0.8 agrees in fewer coordinates than this share with a probability of about one in a million.
+AGREE = 0.625
+#: Members of a bucket's largest component that are compared with all members outside it, and how often others take
+#: their place, before the members outside are compared with all others.
+PIVOTS, PIVOT_ROUNDS = 4, 2
+#: Documents of a family in one block of that comparison.
+BLOCK = 256
 #: Words whose hashes a worker remembers; a memory bound without influence on results.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 200_000
 
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -98,7 +102,7 @@ def sketch(elements: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int, text: str = "text", keep: str = "doc_id") -> DataFrame:
-    """(doc_id, n, digest, sketch) of every row; digest and sketch are null for empty sets."""
+    """(doc_id, n, digest, sketch array<int>) of every row; digest and sketch are null for empty sets."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -108,10 +112,10 @@ def sketches(docs: DataFrame, width: int, text: str = "text", keep: str = "doc_i
                 s = shingle_set(raw, width, hashes)
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                out.append(sketch(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(out, pa.binary())], names=["doc_id", "n", "digest", "sketch"])
+                out.append(sketch(s).view(np.int32) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "n", "digest", "sketch"])
 
-    return map_batches(docs.select(F.col(keep).alias("doc_id"), text), run, "doc_id long, n long, digest binary, sketch binary")
+    return map_batches(docs.select(F.col(keep).alias("doc_id"), text), run, "doc_id long, n long, digest binary, sketch array<int>")
 
 
 def _agreeing(pairs: DataFrame, least: float) -> DataFrame:
@@ -120,7 +124,7 @@ def _agreeing(pairs: DataFrame, least: float) -> DataFrame:
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint32).reshape(-1, COORDINATES) for i in (2, 3))
+                x, y = (b.column(i).flatten().to_numpy().reshape(-1, COORDINATES) for i in (2, 3))
                 good = pa.array((x == y).sum(1) >= least * COORDINATES)
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(good), b.column(1).filter(good)], names=["a", "b"])
 
@@ -146,11 +150,7 @@ def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             good = []
             for left, right in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")  # two sorted runs
-                common = int((both[1:] == both[:-1]).sum())
-                good.append(100 * common >= percent * (len(x) + len(y) - common))
+                good.append(_linked(np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64), percent))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good, pa.bool_())), b.column(1).filter(pa.array(good, pa.bool_()))], names=["a", "b"])
 
     return map_batches(pairs.select("a", "b", "left", "right"), run, "a long, b long")
@@ -172,59 +172,122 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     reps = own.select("doc_id", "n", "sketch").dropDuplicates(["doc_id"])
     reps = materialize(reps, "near-representatives")
 
-    bands = COORDINATES // BAND
-    band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda j: F.xxhash64(j, F.col("sketch").substr(j * (4 * BAND) + 1, F.lit(4 * BAND))))
-    placed = reps.select("doc_id", F.explode(band).alias("key"))
-    crowded = placed.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1")
+    placed = reps.select("doc_id", F.posexplode(_bands(F.col("sketch"))).alias("band", "key"))
+    crowded = placed.groupBy("key", "band").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1")
     crowded = materialize(crowded, "near-buckets")
-    members = materialize(placed.join(crowded, "key").select("key", "doc_id", "first", "c"), "near-bucketed")
+    members = materialize(placed.join(crowded, ["key", "band"]), "near-bucketed")
     discard(crowded)
 
-    tried: DataFrame | None = None
-    links: DataFrame | None = None
-    labels: DataFrame | None = None
     pairs = members.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    turn = None
-    turns = TURNS
-    while True:
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "near-pairs")
-        found = _verify(pairs, reps, rows, width, percent)
-        tried = pairs if tried is None else tried.unionAll(pairs)
-        links = found if links is None else links.unionAll(found)
-        labels = materialize(components(links), "near-components")
-
-        # what is left to compare: buckets of three or more whose members are in different components
-        open_ = members.where("c > 2").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("label"))
-        open_ = materialize(open_, "near-labelled")
-        sizes = open_.groupBy("key", "label").agg(F.count("*").alias("n"))
-        main = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("main"), F.count("*").alias("labels")).where("labels > 1")
-        main = materialize(main.select("key", "main"), "near-main")
-        open_ = materialize(open_.join(main, "key"), "near-open")
-        waiting = open_.where("label <> main").select("key", "doc_id", "label")
-        if turn is not None:
-            waiting = waiting.join(turn, ["key", "doc_id"], "left_anti")
-        chosen = waiting.groupBy("key", F.pmod(F.xxhash64("doc_id"), F.lit(turns)).alias("slot")).agg(F.min_by(F.struct("doc_id", "label"), "doc_id").alias("p"))
-        chosen = materialize(chosen.select("key", F.col("p.doc_id").alias("pivot"), F.col("p.label").alias("own")), "near-turns")
-        if chosen.isEmpty():
+    links = _verify(pairs.distinct(), reps, rows, width, percent)
+    labels = materialize(components(links), "near-components")
+    for turn in range(PIVOT_ROUNDS + 1):
+        # buckets of three or more whose members are in different components; the largest component of each is its main one
+        open_ = members.where("c > 2").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        open_ = materialize(open_.select("key", "band", "first", "doc_id", F.coalesce("component", "doc_id").alias("label")), "near-labelled")
+        sizes = open_.groupBy("key", "band", "label").agg(F.count("*").alias("n"))
+        main = sizes.groupBy("key", "band").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("main"), F.count("*").alias("labels"))
+        main = materialize(main.where("labels > 1").select("key", "band", "main"), "near-main")
+        known = materialize(open_.join(main, ["key", "band"]), "near-open")
+        if known.isEmpty():
             break
-        met = chosen.select("key", F.col("pivot").alias("doc_id"))
-        turn = met if turn is None else turn.unionAll(met)
-        met = open_.join(chosen, "key").where("label <> own")
-        pairs = met.select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b"))
-        turns *= 2
+        if turn < PIVOT_ROUNDS:
+            known = known.join(reps.select("doc_id", "n", "sketch"), "doc_id")
+            outside = known.where("label <> main").select([F.col(c).alias(f"o_{c}") for c in known.columns])
+            drawn = F.xxhash64("doc_id", F.lit(turn))
+            pivots = known.where("label = main").groupBy("key", "band", F.pmod(drawn, F.lit(PIVOTS))).agg(F.min_by(F.struct(known.columns), drawn).alias("p")).select("p.*")
+            same = (F.col("key") == F.col("o_key")) & (F.col("band") == F.col("o_band"))
+            near = F.least("n", "o_n") * 100 >= F.greatest("n", "o_n") * percent
+            agreeing = F.size(F.filter(F.zip_with("sketch", "o_sketch", lambda x, y: x == y), lambda e: e)) >= AGREE * COORDINATES
+            pairs = pivots.join(outside, same & near & agreeing).select(F.least("doc_id", "o_doc_id").alias("a"), F.greatest("doc_id", "o_doc_id").alias("b"))
+            found = _verify(pairs.distinct(), reps, rows, width, percent)
+        else:
+            found = _outsiders(known, reps, rows, width, percent)
+        for x in (open_, main, labels):
+            discard(x)
+        links = links.unionAll(found)
+        labels = materialize(components(links), "near-components")
 
     out = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _bands(sketch_column: Column) -> Column:
+    """A 64-bit key for each band of a sketch."""
+    count = COORDINATES // BAND
+    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda j: F.xxhash64(j, F.slice(sketch_column, j * BAND + 1, BAND)))
+
+
+def _outsiders(known: DataFrame, reps: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """The links, as a written table, among members of open buckets that are in different components.
+
+    Buckets that share members are a family. In it every document outside the family's largest component is compared with
+    all others, in blocks: a task holds about BLOCK members and BLOCK outsiders, or as many of several small families.
+    Only links leave it.
+    """
+    family = materialize(components(known.select(F.col("first").alias("a"), F.col("doc_id").alias("b"))), "near-families")
+    docs = known.select("doc_id", "label").distinct().join(family.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "doc_id")
+    docs = materialize(docs, "near-family-members")
+    sizes = docs.groupBy("family", "label").agg(F.count("*").alias("c"))
+    sizes = sizes.groupBy("family").agg(F.sum("c").alias("size"), F.max_by("label", F.struct("c", -F.col("label"))).alias("main"), F.max("c").alias("largest"))
+    sizes = materialize(sizes.where("size > largest"), "near-family-sizes")
+    small = sizes.where(F.col("size") <= BLOCK).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    bins = max(1, -(-small // BLOCK))
+    alone = F.col("size") > BLOCK
+    placed = docs.join(sizes, "family").withColumns(
+        {
+            "unit": F.when(alone, F.col("family")).otherwise(-1 - F.pmod(F.xxhash64("family"), F.lit(bins))),
+            "inner": F.when(alone, F.ceil(F.col("size") / BLOCK)).otherwise(F.lit(1)).cast("int"),
+            "outer": F.when(alone, F.ceil((F.col("size") - F.col("largest")) / BLOCK)).otherwise(F.lit(1)).cast("int"),
+        }
+    )
+    sets = materialize(_sets(rows.join(docs.select("doc_id"), "doc_id").select("doc_id", "text"), width).dropDuplicates(["doc_id"]), "near-sets")
+    full = materialize(placed.join(reps.select("doc_id", "n", "sketch"), "doc_id").join(sets, "doc_id"), "near-family-sets")
+    columns = ["family", "doc_id", "label", "main", "n", "sketch", "elements", "unit", "i", "j"]
+    block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    inside = full.withColumn("i", block("inner")).withColumn("j", every("outer")).select(columns)
+    outside = full.where("label <> main").withColumn("j", block("outer")).withColumn("i", every("inner")).select(columns)
+
+    def run(members: pa.Table, outsiders: pa.Table) -> pa.Table:
+        a, b = [], []
+        if members.num_rows and outsiders.num_rows:
+            own = {c: members[c].to_numpy() for c in ("family", "doc_id", "label", "main", "n")}
+            sketches_ = members["sketch"].combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
+            elements = [np.frombuffer(x, np.uint64) for x in members["elements"].to_pylist()]
+            others = zip(*(outsiders[c].to_pylist() for c in ("family", "doc_id", "label", "n", "sketch", "elements")), strict=True)
+            for fam, doc, label, n, sk, el in others:
+                apart = (own["family"] == fam) & (own["label"] != label) & ((own["label"] == own["main"]) | (own["doc_id"] < doc))
+                near = np.flatnonzero(apart & (np.minimum(own["n"], n) * 100 >= np.maximum(own["n"], n) * percent))
+                near = near[(sketches_[near] == np.array(sk, np.int32)).sum(1) >= AGREE * COORDINATES]
+                x = np.frombuffer(el, np.uint64)
+                for k in near.tolist():
+                    if _linked(x, elements[k], percent):
+                        a.append(min(doc, int(own["doc_id"][k])))
+                        b.append(max(doc, int(own["doc_id"][k])))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    keys = ("unit", "i", "j")
+    found = materialize(inside.groupBy(*keys).cogroup(outside.groupBy(*keys)).applyInArrow(run, "a long, b long"), "near-links")
+    for x in (family, docs, sizes, sets, full):
+        discard(x)
+    return found
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")  # two sorted runs
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def _verify(pairs: DataFrame, reps: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
     """The links among pairs (a, b), as a written table."""
     left = reps.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("left"))
     right = reps.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("right"))
+    pairs = materialize(pairs, "near-pairs")
     sized = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     near = materialize(_agreeing(sized, AGREE), "near-agreeing")
     needed = near.select(F.col("a").alias("doc_id")).unionAll(near.select(F.col("b").alias("doc_id"))).distinct()
@@ -234,6 +297,6 @@ def _verify(pairs: DataFrame, reps: DataFrame, rows: DataFrame, width: int, perc
     held = near.join(sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("left")), "a")
     held = held.join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("right")), "b")
     found = materialize(_confirmed(held, percent), "near-links")
-    for x in (near, needed, sets):
+    for x in (pairs, near, needed, sets):
         discard(x)
     return found
