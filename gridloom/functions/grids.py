@@ -108,7 +108,7 @@ class Grid:
     def xy(self, point: Column) -> tuple[Column, Column]:
         """Column and row of a flattened point."""
         if self.order == Y_FASTEST:
-            return F.expr("0") + _div(point, self.ny), point % self.ny
+            return _div(point, self.ny), point % self.ny
         return point % self.nx, _div(point, self.nx)
 
     def xy_of(self, point: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

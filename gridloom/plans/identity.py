@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import struct
 
-from gridloom.functions.grids import GaussianGrid, Grid, RegularGrid
+from gridloom.functions.grids import GaussianGrid, Grid
 
 
 def encode(value: object) -> bytes:
@@ -57,7 +57,3 @@ def layout_id(grid: Grid, spatial: tuple[int, ...], shape: tuple[int, ...]) -> s
 
 def object_id(identity: str) -> str:
     return _sha("object-v1", identity)
-
-
-def is_regular(grid: Grid) -> bool:
-    return isinstance(grid, RegularGrid)
