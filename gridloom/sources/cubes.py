@@ -18,9 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.errors import SourceError
+from gridloom.plans import settings
 from gridloom.plans.meta import CubeMeta, Variable, column_name
 from gridloom.plans.select import Range
-from gridloom.sources.paths import check_object, exists, redacted
+from gridloom.sources.paths import check_object, exists, redacted, version
 
 
 def _col(name: str) -> Column:
@@ -38,6 +39,7 @@ class ChunkCube:
     def __post_init__(self) -> None:
         self.path = check_object(self.path)
         self.meta = self._read_meta()
+        self._seen = version(self.spark, self.path) if settings.get(self.spark, "revalidate_metadata") else None
 
     def _read_meta(self) -> CubeMeta:
         if not exists(self.spark, f"{self.path}/meta"):
@@ -50,7 +52,11 @@ class ChunkCube:
 
     def cells(self, meta: CubeMeta, ranges: dict[int, list[Range]] | None = None) -> DataFrame:
         """(logical_index, variables) of the cells in chunks that the ranges touch."""
+        if self._seen is not None and version(self.spark, self.path) != self._seen:
+            raise SourceError("object_changed", f"{redacted(self.path)} was written anew since it was opened")
         chunks = self.spark.read.parquet(f"{self.path}/chunks")
+        if threads := settings.get(self.spark, "max_threads"):
+            chunks = chunks.coalesce(threads)
         sizes = meta.variables[0].chunks
         for axis, listed in (ranges or {}).items():
             chunks = chunks.where(_touched(F.col(f"off_{axis}"), listed, sizes[axis]))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import gridloom as g
 from gridloom.errors import BindError, SourceError
+from gridloom.plans import settings
 
 HOUR = dt.timedelta(hours=1)
 
@@ -182,3 +183,20 @@ def test_cells_of_any_size_are_written_by_tasks(spark, tmp_path):
 
 def test_remote_path_by_hadoop(spark, cubes):
     assert g.read_array(spark, "file://" + cubes["raw"]).count() == 6
+
+
+def test_settings_bound_tasks_and_notice_changes(spark, tmp_path):
+    values = np.arange(12, dtype=np.float32).reshape(3, 4)
+    path = g.write_cube(spark, f"{tmp_path}/cube", {"": values}, (1, 2))
+    try:
+        settings.put(spark, "max_threads", 1)
+        assert g.read_array(spark, path).rdd.getNumPartitions() == 1
+        settings.put(spark, "revalidate_metadata", True)
+        cube = g.ChunkCube(spark, path)
+        assert g.read_array(spark, cube).count() == 12
+        g.write_cube(spark, path, {"": values + 1}, (1, 2))
+        with pytest.raises(SourceError, match="object_changed"):
+            g.read_array(spark, cube)
+    finally:
+        settings.put(spark, "max_threads", 0)
+        settings.put(spark, "revalidate_metadata", False)
