@@ -41,6 +41,9 @@ def _classify(error: Exception) -> str:
         "timeout": ("Timeout", "timed out"),
         "extension_missing": ("No FileSystem for scheme", "UnsupportedFileSystem"),
         "rate_limited": ("429", "SlowDown"),
+        "range_request": ("416", "RangeNotSatisfiable"),
+        "object_not_found": ("FileNotFound", "NoSuchKey", "404"),
+        "http": ("HTTP response", "HttpException", "Status Code: 5"),
         "configuration": ("NoAuth", "NoAwsCredentials", "Wrong FS"),
     }.items():
         if any(s in text for s in signs):

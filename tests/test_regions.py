@@ -156,3 +156,13 @@ def test_location_is_that_of_an_exhaustive_search(grid):
         far = haversine(tx, ty, lon, lat, grid.earth.radius_m)
         best = np.lexsort((point, far))[0]
         assert locate(grid, tx, ty)[:2] == (far[best], point[best])
+
+
+def test_status_alone_reads_no_values(spark, sampling):
+    spark.conf.set("spark.sql.maxMetadataStringLength", 5000)
+    df = g.read_regions(spark, sampling, regions=TARGETS, **NEAREST)
+    read = lambda d: d._jdf.queryExecution().executedPlan().toString().split("ReadSchema", 1)[-1]
+    assert "temperature" not in read(df.select("region_id", "sampling.status", "lat"))
+    assert "temperature" in read(df.select("sampling.variables")) and "humidity" in read(df.select("sampling"))
+    one = g.read_regions(spark, sampling, regions=TARGETS, variable="s/temperature", **NEAREST)
+    assert "humidity" not in read(one.select("sampling"))
