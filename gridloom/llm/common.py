@@ -45,11 +45,17 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Writes a table to the shared folder and reads it back. Cuts the lineage, survives lost executors, and lets later
-    joins start from exchanges that adaptive execution can split when one key is hot."""
+    joins start from exchanges that adaptive execution can split when one key is hot.
+
+    ``narrow`` is for tables of a few numbers a row: they are written by two tasks for each core of the cluster at most,
+    each taking its partitions one after another, so that a chain of such tables is not one of thousands of tiny files.
+    """
     spark = session_of(df)
     path = new_folder(spark, name)
+    if narrow:
+        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._gridloom_path = path

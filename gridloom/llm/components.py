@@ -15,7 +15,7 @@ from gridloom.llm.common import discard, materialize
 def _star(edges: DataFrame) -> DataFrame:
     """Links every neighbour v of u, as far as listed, and u itself to the least of them. edges: (u, v)."""
     least = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    least = materialize(least, "components-least")
+    least = materialize(least, "components-least", narrow=True)
     joined = edges.join(least, "u")
     out = joined.select(F.col("v").alias("a"), "m").unionAll(least.select(F.col("u").alias("a"), "m"))
     return out.where("a <> m").select(F.col("a").alias("u"), F.col("m").alias("v")).distinct()
@@ -24,15 +24,15 @@ def _star(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of the links (a, b): the component is its least node. Loops are allowed."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    edges = materialize(edges, "components-links")
+    edges = materialize(edges, "components-links", narrow=True)
     before = None
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: the neighbours above u; small star: those below it
-        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "components-least")
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "components-least", narrow=True)
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialize(large, "components-large")
-        small = materialize(_star(large), "components-small")
+        large = materialize(large, "components-large", narrow=True)
+        small = materialize(_star(large), "components-small", narrow=True)
         now = small.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         discard(edges)
         discard(large)

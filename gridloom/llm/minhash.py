@@ -180,15 +180,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
 
     pairs = members.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     links = _verify(pairs.distinct(), reps, rows, width, percent)
-    labels = materialize(components(links), "near-components")
+    labels = materialize(components(links), "near-components", narrow=True)
     for turn in range(PIVOT_ROUNDS + 1):
         # buckets of three or more whose members are in different components; the largest component of each is its main one
         open_ = members.where("c > 2").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        open_ = materialize(open_.select("key", "band", "first", "doc_id", F.coalesce("component", "doc_id").alias("label")), "near-labelled")
+        open_ = materialize(open_.select("key", "band", "first", "doc_id", F.coalesce("component", "doc_id").alias("label")), "near-labelled", narrow=True)
         sizes = open_.groupBy("key", "band", "label").agg(F.count("*").alias("n"))
         main = sizes.groupBy("key", "band").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("main"), F.count("*").alias("labels"))
-        main = materialize(main.where("labels > 1").select("key", "band", "main"), "near-main")
-        known = materialize(open_.join(main, ["key", "band"]), "near-open")
+        main = materialize(main.where("labels > 1").select("key", "band", "main"), "near-main", narrow=True)
+        known = materialize(open_.join(main, ["key", "band"]), "near-open", narrow=True)
         if known.isEmpty():
             break
         if turn < PIVOT_ROUNDS:
@@ -203,10 +203,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
             found = _verify(pairs.distinct(), reps, rows, width, percent)
         else:
             found = _outsiders(known, reps, rows, width, percent)
-        for x in (open_, main, labels):
+        for x in (open_, main):
             discard(x)
+        if found.isEmpty():
+            continue
+        discard(labels)
         links = links.unionAll(found)
-        labels = materialize(components(links), "near-components")
+        labels = materialize(components(links), "near-components", narrow=True)
 
     out = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
@@ -226,12 +229,12 @@ def _outsiders(known: DataFrame, reps: DataFrame, rows: DataFrame, width: int, p
     all others, in blocks: a task holds about BLOCK members and BLOCK outsiders, or as many of several small families.
     Only links leave it.
     """
-    family = materialize(components(known.select(F.col("first").alias("a"), F.col("doc_id").alias("b"))), "near-families")
+    family = materialize(components(known.select(F.col("first").alias("a"), F.col("doc_id").alias("b"))), "near-families", narrow=True)
     docs = known.select("doc_id", "label").distinct().join(family.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "doc_id")
-    docs = materialize(docs, "near-family-members")
+    docs = materialize(docs, "near-family-members", narrow=True)
     sizes = docs.groupBy("family", "label").agg(F.count("*").alias("c"))
     sizes = sizes.groupBy("family").agg(F.sum("c").alias("size"), F.max_by("label", F.struct("c", -F.col("label"))).alias("main"), F.max("c").alias("largest"))
-    sizes = materialize(sizes.where("size > largest"), "near-family-sizes")
+    sizes = materialize(sizes.where("size > largest"), "near-family-sizes", narrow=True)
     small = sizes.where(F.col("size") <= BLOCK).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     bins = max(1, -(-small // BLOCK))
     alone = F.col("size") > BLOCK
@@ -287,11 +290,11 @@ def _verify(pairs: DataFrame, reps: DataFrame, rows: DataFrame, width: int, perc
     """The links among pairs (a, b), as a written table."""
     left = reps.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("left"))
     right = reps.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("right"))
-    pairs = materialize(pairs, "near-pairs")
+    pairs = materialize(pairs, "near-pairs", narrow=True)
     sized = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     near = materialize(_agreeing(sized, AGREE), "near-agreeing")
     needed = near.select(F.col("a").alias("doc_id")).unionAll(near.select(F.col("b").alias("doc_id"))).distinct()
-    needed = materialize(needed, "near-needed")
+    needed = materialize(needed, "near-needed", narrow=True)
     sets = _sets(rows.join(needed, "doc_id").select("doc_id", "text"), width).dropDuplicates(["doc_id"])
     sets = materialize(sets, "near-sets")
     held = near.join(sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("left")), "a")
