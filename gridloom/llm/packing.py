@@ -31,7 +31,7 @@ BLOCK_RESTS = 512
 #: Bytes of ids after which a block ends early; a memory bound.
 BLOCK_BYTES = 32 << 20
 #: Words whose ids a worker remembers, and the longest of them; a memory bound without influence on results.
-CACHED_WORDS, CACHED_BYTES = 2_000_000, 48
+CACHED_WORDS, CACHED_BYTES = 800_000, 48
 #: New words are encoded this many at a time, with a mark between them that no other word's ids hold: a word with the
 #: mark in it is encoded alone.
 JOINED, MARK = 100, b"~"
