@@ -59,3 +59,42 @@ def test_query_equals_sql(spark, name):
 
 def test_every_operator_has_a_query():
     assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+
+
+@pytest.fixture(scope="module")
+def awkward_dir(spark, docs, rows, tmp_path_factory):
+    """Tables with nulls in every column, repeated rows and clashing columns."""
+    root = f"{tmp_path_factory.mktemp('awkward')}"
+    docs.write.parquet(f"{root}/documents.parquet")
+    labels = [(4, 1, 0), (5, 0, 1), (6, None, 1), (7, 1, None), (None, 1, 1), (8, 0, 0), (8, 1, 1), (9, 1, 0), (9, 1, 0), (10, 7, 7), (99, 0, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
+    pages = [(1, None, None), (None, "http://x", "y" * 2000), (2, "http://y", "y" * 2000), (2, "http://y", "y" * 2000), (3, "", "")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{root}/pages.parquet")
+    vectors = [(0, [1.0, 2.0]), (20, None), (40, [0.0, 0.0]), (1, [2.0, 1.0]), (2, [None, 1.0]), (None, [1.0, 1.0]), (1, [2.0, 1.0])]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{root}/embeddings.parquet")
+    return root
+
+
+@pytest.fixture(scope="module")
+def empty_dir(spark, awkward_dir, tmp_path_factory):
+    root = f"{tmp_path_factory.mktemp('empty')}"
+    for t in ("documents", "labels", "pages", "embeddings"):
+        spark.read.parquet(f"{awkward_dir}/{t}.parquet").limit(0).write.parquet(f"{root}/{t}.parquet")
+    return root
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_queries_take_awkward_and_empty_tables(spark, awkward_dir, empty_dir, rows, name):
+    got = QUERIES[name](spark, awkward_dir).collect()
+    if name == "op9_ann":
+        assert [(r["query_id"], r["vec_id"], r["rank"]) for r in got] == [(0, 1, 1)]
+    elif name == "op3_packing":
+        assert {r["doc_id"] for r in got} == {i for i, _ in rows}
+    else:
+        assert len(got) == (5 if name == "op2_warc" else len(rows))
+    assert QUERIES[name](spark, empty_dir).collect() == []
+
+
+def test_pipeline_takes_awkward_and_empty_tables(spark, awkward_dir, empty_dir):
+    assert corpus_pipeline.run(spark, awkward_dir).count() > 0
+    assert corpus_pipeline.run(spark, empty_dir).count() == 0
