@@ -4,7 +4,6 @@ import random
 import re
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from gridloom.llm import ann, minhash, substring
