@@ -379,6 +379,36 @@ def s3_read_series(spark, sf_dir):
     )
 
 
+@register(
+    """WITH n AS (SELECT (max(event_id) + 120) // 120 AS ny FROM events),
+i AS (SELECT unnest(range(ny * 120)) AS id, ny FROM n),
+c AS (SELECT id // (ny * 40) AS chunk, id // 4 % (ny * 10) AS point, id % 4 AS slot, ny, value::FLOAT AS value FROM i LEFT JOIN events ON event_id = id)
+SELECT CASE WHEN isnan(value) THEN NULL ELSE value END AS value, 10.0::DOUBLE + (point // 10)::DOUBLE * (60.0::DOUBLE / ny) AS lat, 100.0::DOUBLE + point % 10 AS lon, TIMESTAMP '1970-01-01' + INTERVAL '1 hour' * (chunk * 4 + slot)::INT AS valid_time
+FROM c"""
+)
+def s3_read_series_whole(spark, sf_dir):
+    """All events in three chunk objects of [1, 10 ny, 4] cells, read over their whole window. The cells after the last
+    event are null."""
+    root = scratch(spark, "series")
+    ny = (table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] + 120) // 120
+    size = ny * 40
+    cells = spark.range(3 * size).join(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "value"), "id", "left")
+    for n in range(3):
+        part = cells.where(F.col("id").between(size * n, size * n + size - 1)).select((F.col("id") - size * n).alias("logical_index"), "value")
+        write_cells(part, f"{root}/{series_plans.key(n)}", (1, ny * 10, 4), (1, 20, 4), ["value"])
+    return read_series(
+        spark,
+        root,
+        model="ecmwf_ifs",
+        chunk_time_length=4,
+        dimensions=["lead", "point", "time"],
+        grid={"nx": 10, "ny": ny, "lat0": 10.0, "lon0": 100.0, "dlat": 60.0 / ny, "dlon": 1.0, "order": "lon_fastest"},
+        spatial_axes=["point"],
+        start=dt.datetime(1970, 1, 1),
+        end=dt.datetime(1970, 1, 1, 11),
+    )
+
+
 @register("SELECT 'chunk_' || CASE WHEN i < 0 THEN '-' || lpad((-i)::VARCHAR, 3, '0') ELSE lpad(i::VARCHAR, 4, '0') END || '.om' AS key FROM range(-2, 6) t(i)")
 def t7_object_keys(spark, sf_dir):
     lay = series_plans.layout("dwd_icon", 4, None)
