@@ -27,8 +27,8 @@ from gridloom.llm.common import materialize, short_batches
 #: Vectors in a block and queries in a group, about.
 BLOCK, GROUP = 1 << 14, 1 << 10
 TREES, BITS = 96, 24
-#: A query ascends until its ranges hold so many entries, counted in all trees, or this share of the block if that is more.
-LEAST, SHARE = 6144, 0.4
+#: A query ascends until its ranges hold so many entries, counted in all trees, or this multiple of the block if that is more.
+LEAST, SHARE = 6144, 2.0
 
 
 class Forest:

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gridloom.llm import ann, minhash, substring
@@ -217,6 +218,27 @@ def test_forest_recall(spark):
     assert hits >= 0.9 * 20 * len(got) and len(got) == (ids % 20 == 0).sum()
 
 
+@pytest.mark.parametrize("n", [ann.BLOCK, 3 * ann.BLOCK])
+@pytest.mark.parametrize("lengths", ["unit", "gaussian", "lognormal"])
+def test_forest_recall_of_full_blocks(n, lengths):
+    rng = np.random.default_rng(1)
+    vectors = rng.standard_normal((n, 64))
+    if lengths == "unit":
+        vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    elif lengths == "lognormal":
+        vectors *= np.exp(0.5 * rng.standard_normal((n, 1)))
+    asked, ids, got = np.arange(0, n, n // 100)[:100], rng.permutation(n), {}
+    for at in np.array_split(ids, n // ann.BLOCK):
+        for q, v, s in ann.search(at, vectors[at], asked, vectors[asked], 20):
+            got.setdefault(q, []).append((-s, v))
+    hits = 0
+    for q in asked.tolist():
+        s = vectors @ vectors[q]
+        s[q] = -np.inf
+        hits += len({v for _, v in sorted(got[q])[:20]} & set(np.argsort(-s, kind="stable")[:20].tolist()))
+    assert hits >= 0.95 * 20 * len(asked)
+
+
 def test_ranges_hold_enough_and_ascend_to_the_root():
     rng = np.random.default_rng(6)
     forest = ann.Forest(rng.standard_normal((200, 8)), trees=5)
