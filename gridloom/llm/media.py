@@ -183,8 +183,10 @@ def with_payloads(at: DataFrame, folder: str) -> DataFrame:
 
 
 def media_columns(df: DataFrame, text: str = "text", keep: str = "doc_id") -> DataFrame:
-    """Stores every text and joins what was read back to its row."""
+    """Stores every text and joins its address, its header by a range read and what was read back to its row."""
     folder = new_folder(session_of(df), "media")
     index = store(df, folder, text, keep)
-    read = materialize(with_payloads(addresses(index), folder), "media-read")
-    return index.select(keep, "n_bytes", "digest").join(read, "digest")
+    at = addresses(index)
+    read = materialize(with_payloads(at, folder).drop("width", "height"), "media-read")
+    found = at.join(with_headers(at, folder), "digest").join(read, "digest")
+    return index.select(keep, "n_bytes", "digest").join(found, "digest")

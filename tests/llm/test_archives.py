@@ -81,6 +81,14 @@ def test_media(spark, docs, rows, none):
     assert media.media_columns(none).count() == 0
 
 
+def test_media_rows_have_addresses_and_headers(spark, docs, rows):
+    got = media.media_columns(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["shard"] and r["offset"] % 512 == 0 and r["length"] == r["media_bytes"]
+        assert r["width"] == media.WIDTH and r["width"] * r["height"] == r["payload_bytes"] and r["depth"] == 8
+
+
 def test_shards_and_range_reads(spark, docs):
     folder = new_folder(spark, "media-test")
     index = media.store(docs, folder)
