@@ -121,7 +121,7 @@ GENERATORS: dict[str, re.Pattern[str]] = {
     "phone": re.compile(r"(?<![0-9A-Za-z.+-])(?:00[0-9]{2}[ ./-]?|\(?0?[0-9]{2,4}\)?[ ./-])[0-9]{2,4}[ ./-]?[0-9]{2,4}(?:[ ./-]?[0-9]{2,4}){0,2}(?![0-9A-Za-z])"),
 }
 #: A text without any of these has no candidates.
-_HINT = re.compile(r"[0-9]{2}|[(\[{<]at[)\]}>]| at ", re.I)
+_HINT = re.compile(r"[0-9]{2}|[0-9](?:\[\.\]|\(\.\)|\[dot\]| dot )|[(\[{<]at[)\]}>]| at ", re.I)
 _AT = re.compile(r"[(\[{<]at[)\]}>]|(?<= )at(?= )", re.I)
 #: Characters of context to each side.
 CONTEXT = 40

@@ -143,3 +143,10 @@ def test_base_spans_stay_and_redaction_takes_all(spark, docs, rows, none, tables
 def test_long_runs_take_linear_time(model):
     for t in ("a" * 300_000, "1" * 300_000, "1 " * 150_000, "+1 " * 80_000, "@a" * 80_000, "a@" * 80_000, "1." * 150_000, "(at)" * 40_000):
         pii.all_spans(t, pii.base_spans(t), model)
+
+
+@pytest.mark.parametrize("sign", ["[.]", "(.)", "[dot]", " dot "])
+def test_addresses_of_one_digit_parts_are_proposed(sign):
+    ip = sign.join("8844")
+    assert ("ip", 10, 10 + len(ip)) in pii.proposals(f"client ip {ip} seen")
+    assert ("ip", 10, 15 + len(sign) + 1) in pii.proposals(f"client ip 8{sign}8.4.4 seen")
