@@ -80,6 +80,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name that all executors see: below spark.checkpoint.dir, which is set here only where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise SourceError("configuration", "spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="gridloom-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/gridloom/{name}-{uuid.uuid4().hex}"
