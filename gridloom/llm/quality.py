@@ -1,9 +1,10 @@
 """Quality classifier by supervised subword embeddings.
 
-Every stretch between ASCII white space is a word. Its features are the word itself and its byte 3- to 5-grams with
-border marks, each hashed to a learned vector; the word's vector is their mean, and the document's vector is the mean
-over its words, with one more learned vector for each word that repeats the word before it. A softmax layer gives the
-class probabilities. Vectors and layer are trained by numpy stochastic gradient descent (AdaGrad steps).
+Every stretch between ASCII white space is a word. Its features are the word itself and its character 3- to 5-grams with
+border marks, each hashed to a learned vector; the word's vector is their mean. Word 2-grams are hashed too, by the
+difference of their words' hashes, so that a word after itself is one 2-gram whatever the word. The document's vector is
+the mean over its words and word 2-grams. A softmax layer gives the class probabilities. Vectors and layer are trained by
+numpy stochastic gradient descent (AdaGrad steps over small batches).
 
 For scoring, the layer is applied to the vectors once, which leaves one number for each bucket: the averages are linear,
 so the scores are the same. Null and empty texts have the zero vector and score by the bias alone. Repeated texts have
@@ -13,35 +14,36 @@ equal scores. Without labelled rows of both classes, every score is the share of
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from operator import eq
+from collections.abc import Iterable, Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from gridloom.llm.common import map_batches, text_bytes
-from gridloom.llm.labelled import labelled_sample
+from gridloom.llm.labelled import labelled_rows
 
-BUCKETS = 1 << 17
+#: Buckets of words and character n-grams, and those of word 2-grams after them.
+BUCKETS, PAIRS = 1 << 17, 1 << 16
 DIMENSIONS = 8
 GRAMS = (3, 4, 5)
-EPOCHS = 6
-RATE = 0.3
-#: The bucket of a word that repeats the one before it.
-REPEAT = 0
+EPOCHS = 3
+BATCH = 32
+RATE = 0.5
 #: Words whose sums a worker remembers, and the longest of them; memory bounds without influence on results.
 CACHED_WORDS, CACHED_BYTES = 500_000, 48
 
 
 def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all features of these words, and where each word's begin. Words must not be empty."""
-    joined = np.frombuffer(b"".join(b"<" + w + b">" for w in words), np.uint8).astype(np.uint64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    marked = [f"<{w.decode()}>" for w in words]
+    joined = np.frombuffer("".join(marked).encode("utf-32-le"), "<u4").astype(np.uint64)
+    sizes = np.fromiter(map(len, marked), np.int64, len(words))
     ends = np.cumsum(sizes)
     owner = np.repeat(np.arange(len(words)), sizes)
-    left = ends[owner] - np.arange(len(joined))  # bytes from here to the word's end
+    left = ends[owner] - np.arange(len(joined))  # characters from here to the word's end
     buckets = [np.fromiter(map(crc32, words), np.uint64, len(words))]
     owners = [np.arange(len(words))]
     mixed = joined + np.uint64(1)
@@ -54,20 +56,13 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     buckets, owners = np.concatenate(buckets), np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
     starts = np.searchsorted(owners[order], np.arange(len(words)))
-    return (buckets[order] % np.uint64(BUCKETS - 1) + np.uint64(1)).astype(np.int64), starts
+    return (buckets[order] % np.uint64(BUCKETS)).astype(np.int64), starts
 
 
-def _bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a document and their weights in its mean."""
-    words = text.split()
-    if not words:
-        return np.zeros(0, np.int64), np.zeros(0)
-    buckets, starts = word_features(words)
-    sizes = np.diff(np.append(starts, len(buckets)))
-    repeats = sum(map(eq, words, words[1:]))
-    weights = np.repeat(1 / sizes, sizes)
-    at, back = np.unique(np.append(buckets, REPEAT), return_inverse=True)
-    return at, np.bincount(back, np.append(weights, repeats)) / (len(words) + repeats)
+def pair_buckets(hashes: np.ndarray) -> np.ndarray:
+    """Buckets of the 2-grams of a document's words, given the 64-bit hashes of the words in order."""
+    mixed = (hashes[1:] - hashes[:-1]) * np.uint64(0xBF58476D1CE4E5B9)
+    return (BUCKETS + (mixed >> np.uint64(40)) % np.uint64(PAIRS)).astype(np.int64)
 
 
 class Model:
@@ -75,12 +70,13 @@ class Model:
 
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
-        self.cache: dict[bytes, float] = {}
+        self.cache: dict[bytes, tuple[float, int]] = {}
 
-    def _sums(self, words: list[bytes]) -> list[float]:
+    def _sums(self, words: list[bytes]) -> list[tuple[float, int]]:
+        """The mean weight of each word's features, and its hash."""
         buckets, starts = word_features(words)
         sizes = np.diff(np.append(starts, len(buckets)))
-        return (np.add.reduceat(self.weights[buckets], starts) / sizes).tolist()
+        return list(zip((np.add.reduceat(self.weights[buckets], starts) / sizes).tolist(), map(xxhash.xxh3_64_intdigest, words), strict=True))
 
     def scores(self, texts: list[bytes]) -> list[float]:
         split = [t.split() for t in texts]
@@ -93,47 +89,88 @@ class Model:
             part = todo[at : at + (1 << 14)]
             for w, x in zip(part, self._sums(part), strict=True):
                 (self.cache if len(w) <= CACHED_BYTES else extra)[w] = x
-        known, repeat = self.cache, float(self.weights[REPEAT])
+        known = self.cache
         out = []
         for words in split:
             z = self.bias
             if words:
-                values = [extra[w] if w in extra else known[w] for w in words] if extra else [known[w] for w in words]
-                repeats = sum(map(eq, words, words[1:]))
-                z += (math.fsum(values) + repeats * repeat) / (len(words) + repeats)
+                values, hashes = zip(*([extra[w] if w in extra else known[w] for w in words] if extra else [known[w] for w in words]), strict=True)
+                pairs = self.weights[pair_buckets(np.array(hashes, np.uint64))]
+                z += (math.fsum(values) + float(pairs.sum())) / (2 * len(words) - 1)
             out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, z)))))
         return out
 
 
-def train(sample: list[tuple[str, str | None, int]], share: float, epochs: int = EPOCHS, seed: int = 7) -> Model:
-    """Fits the model; ``share`` of label 1 in the population corrects the bias for the sample's balance."""
-    labels = [y for *_, y in sample]
+def _features(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """word_features() of many words, some at a time."""
+    buckets, sizes = [], []
+    for at in range(0, len(vocabulary), 1 << 14):
+        part, starts = word_features(vocabulary[at : at + (1 << 14)])
+        buckets.append(part.astype(np.int32))
+        sizes.append(np.diff(np.append(starts, len(part))))
+    return np.concatenate(buckets), np.concatenate(sizes)
+
+
+def train(sample: Iterable[tuple[str | None, str | None, int]], share: float, epochs: int = EPOCHS, seed: int = 7) -> Model:
+    """Fits the model; ``share`` of label 1 in the population corrects the bias for the sample's balance. Texts are read
+    one by one; the numbers and counts of their words are kept."""
+    numbers: dict[bytes, int] = {}
+    hashes: list[int] = []
+    bags, labels = [], []
+    for text, _, label in sample:
+        words = (text or "").encode().split()
+        for w in words:
+            if w not in numbers:
+                numbers[w] = len(numbers)
+                hashes.append(xxhash.xxh3_64_intdigest(w))
+        own = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+        pairs = pair_buckets(np.array([hashes[i] for i in own.tolist()], np.uint64))
+        bags.append([(k.astype(np.int32), (n / (2 * len(words) - 1)).astype(np.float32)) for k, n in (np.unique(x, return_counts=True) for x in (own, pairs))])
+        labels.append(label)
     if len(set(labels)) < 2:
         share = min(max(share, 1e-4), 1 - 1e-4)
-        return Model(np.zeros(BUCKETS), math.log(share / (1 - share)))
+        return Model(np.zeros(BUCKETS + PAIRS), math.log(share / (1 - share)))
+    buckets, sizes = _features(list(numbers)) if numbers else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+    starts = np.cumsum(sizes) - sizes
     rng = np.random.default_rng(seed)
-    bags = [_bag((t or "").encode()) for t, *_ in sample]
-    vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS))
+    vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS + PAIRS, DIMENSIONS)).astype(np.float32)
     layer, bias = rng.normal(0, 0.5, (2, DIMENSIONS)), np.zeros(2)
-    seen_v, seen_l, seen_b = np.full(BUCKETS, 1e-4), np.full((2, DIMENSIONS), 1e-2), np.full(2, 1e-2)
+    seen_v, seen_l, seen_b = np.full(BUCKETS + PAIRS, 1e-4), np.full((2, DIMENSIONS), 1e-2), np.full(2, 1e-2)
+    y = np.array(labels)
     for _ in range(epochs):
-        for i in rng.permutation(len(bags)):
-            at, weights = bags[i]
-            hidden = weights @ vectors[at] if len(at) else np.zeros(DIMENSIONS)
-            logits = layer @ hidden + bias
-            p = np.exp(logits - logits.max())
-            p /= p.sum()
-            p[labels[i]] -= 1
+        order = rng.permutation(len(bags))
+        for at in range(0, len(order), BATCH):
+            some = order[at : at + BATCH].tolist()
+            gather = lambda kind, part: np.concatenate([bags[i][kind][part] for i in some])
+            owner, pair_owner = (np.repeat(np.arange(len(some)), [len(bags[i][kind][0]) for i in some]) for kind in (0, 1))
+            weight, pairs, pair_weight = gather(0, 1), gather(1, 0), gather(1, 1)
+            words, place = np.unique(gather(0, 0), return_inverse=True)
+            hidden = np.zeros((len(some), DIMENSIONS))
+            if len(words):
+                size = sizes[words]
+                begin = np.cumsum(size) - size
+                flat = buckets[np.arange(size.sum()) + np.repeat(starts[words] - begin, size)]
+                means = np.add.reduceat(vectors[flat], begin) / size[:, None]
+                for k in range(DIMENSIONS):
+                    hidden[:, k] = np.bincount(owner, weight * means[place, k], len(some)) + np.bincount(pair_owner, pair_weight * vectors[pairs, k], len(some))
+            logits = hidden @ layer.T + bias
+            p = np.exp(logits - logits.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            p[np.arange(len(some)), y[some]] -= 1
             back = p @ layer
-            g = np.outer(p, hidden)
+            g = p.T @ hidden
             seen_l += g * g
-            seen_b += p * p
-            if len(at):
-                step = np.outer(weights, back)
-                seen_v[at] += (step * step).mean(1)
-                vectors[at] -= RATE * step / np.sqrt(seen_v[at])[:, None]
+            seen_b += p.sum(0) ** 2
+            if len(words):
+                keys, to = np.unique(np.concatenate([flat, pairs]), return_inverse=True)
+                step = np.empty((len(keys), DIMENSIONS))
+                for k in range(DIMENSIONS):
+                    own = np.bincount(place, weight * back[owner, k], len(words)) / size
+                    step[:, k] = np.bincount(to, np.concatenate([np.repeat(own, size), pair_weight * back[pair_owner, k]]), len(keys))
+                seen_v[keys] += (step * step).mean(1)
+                vectors[keys] -= RATE * step / np.sqrt(seen_v[keys])[:, None]
             layer -= RATE * g / np.sqrt(seen_l)
-            bias -= RATE * p / np.sqrt(seen_b)
+            bias -= RATE * p.sum(0) / np.sqrt(seen_b)
     ones = sum(labels) / len(labels)
     prior = math.log(max(share, 1e-4) / max(1 - share, 1e-4)) - math.log(ones / (1 - ones))
     return Model(vectors @ (layer[1] - layer[0]), float(bias[1] - bias[0]) + prior)
@@ -141,7 +178,7 @@ def train(sample: list[tuple[str, str | None, int]], share: float, epochs: int =
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits on a bounded sample of the labelled rows that are not held out."""
-    return train(*labelled_sample(docs, labels, "quality"))
+    return train(*labelled_rows(docs, labels, "quality"))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: str = "doc_id") -> DataFrame:

@@ -1,10 +1,13 @@
 """Classifiers and personal data."""
 
+import math
 import random
 import re
 from zlib import crc32
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from gridloom.llm import pii, quality, toxicity
@@ -81,6 +84,83 @@ def test_slices_do_not_change_scores(tables, monkeypatch):
     assert all(abs(a - b) < 1e-6 for a, b in zip(want, model.scores(some), strict=True))
 
 
+def plain_toxicity(model, text):
+    """Every word vector, window and filter one by one, in double precision."""
+    vectors = [sum(model.embedding[k].astype(float) for k in toxicity.word_buckets(w)) for w in text.lower().split()]
+    vectors = (vectors or [np.zeros(toxicity.DIMENSIONS)]) + [np.zeros(toxicity.DIMENSIONS)] * 2
+    z, at = model.bias, 0
+    for width, filters, shift in zip(toxicity.WIDTHS, model.filters, model.shifts, strict=True):
+        for f in range(toxicity.FILTERS):
+            best = max(sum(float(vectors[i + t] @ filters[t * toxicity.DIMENSIONS : (t + 1) * toxicity.DIMENSIONS, f]) for t in range(width)) for i in range(len(vectors) - 2))
+            z += max(0.0, best + float(shift[f])) * float(model.layer[at])
+            at += 1
+    return 1 / (1 + math.exp(-z))
+
+
+def plain_quality(model, text):
+    """Every word, n-gram and word pair one by one."""
+    words, total, mask = text.split(), 0.0, (1 << 64) - 1
+    for raw in words:
+        word = f"<{raw.decode()}>"
+        buckets = [crc32(raw) % quality.BUCKETS]
+        for n in quality.GRAMS:
+            for i in range(len(word) - n + 1):
+                h = ord(word[i]) + 1
+                for k in range(2, n + 1):
+                    h = (h * 0x9E3779B97F4A7C15 + ord(word[i + k - 1]) + k) & mask
+                buckets.append((h * 0xBF58476D1CE4E5B9 & mask) >> 40)
+        total += sum(float(model.weights[b % quality.BUCKETS]) for b in buckets) / len(buckets)
+    hashes = [xxhash.xxh3_64_intdigest(w) for w in words]
+    for a, b in zip(hashes, hashes[1:], strict=False):
+        total += float(model.weights[quality.BUCKETS + (((b - a) * 0xBF58476D1CE4E5B9 & mask) >> 40) % quality.PAIRS])
+    z = model.bias + (total / (2 * len(words) - 1) if words else 0.0)
+    return 1 / (1 + math.exp(-z))
+
+
+@pytest.mark.parametrize(("module", "plain"), [(quality, plain_quality), (toxicity, plain_toxicity)])
+def test_scores_equal_plain_ones(tables, rows, module, plain):
+    model = module.fit(*tables)
+    texts = [(r["text"] or "").encode() for r in tables[0].limit(25).collect()] + [(t or "").encode() for _, t in rows if not t or len(t) < 30_000]
+    for text, got in zip(texts, model.scores(texts), strict=True):
+        assert got == pytest.approx(plain(model, text), abs=2e-6)
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_equal_texts_have_equal_scores_in_any_company(spark, tables, module):
+    docs, labels = tables
+    model = module.fit(docs, labels)
+    some = docs.where("text IS NOT NULL").limit(120)
+    twice = some.unionAll(some.withColumn("doc_id", F.col("doc_id") + 10**9))
+    seen = {}
+    for parts, order in ((1, "doc_id"), (3, "n_chars"), (7, "text")):
+        for r in module.score(twice.repartition(parts).sortWithinPartitions(order), model).collect():
+            seen.setdefault(r["doc_id"] % 10**9, set()).add(r["score"])
+    assert len(seen) == 120 and all(len(s) == 1 for s in seen.values())
+    texts = [r["text"].encode() for r in some.collect()]
+    alone = [model.scores([t])[0] for t in texts[:20]]
+    assert alone == model.scores(texts)[:20]
+
+
+def test_labelled_sample_is_bounded_and_defined(spark):
+    docs = [(i, "x" * 10, "en") for i in range(40)] + [(3, "a", "de"), (4, None, None), (4, "z", "en"), (5, "y" * 100_000, "en")]
+    labels = [(i, i % 2) for i in range(50)] + [(3, 0), (None, 1)]
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    usable = [i for i in range(40) if crc32(str(i).encode()) % 5]
+    got, share = labelled_sample(docs, labels, "toxic")
+    assert len(got) == len(usable) and share == sum(i % 2 for i in usable) / len(usable)
+    by = dict(zip(usable, got, strict=True))
+    if 3 in by:
+        assert by[3] == ("a", "de", 1)
+    if 4 in by:
+        assert by[4][0] == ""
+    if 5 in by:
+        assert by[5][0] == "x" * 10  # the least of two texts
+    few, _ = labelled_sample(docs, labels, "toxic", rows_per_class=4)
+    assert [y for *_, y in few].count(0) == [y for *_, y in few].count(1) == 4
+    small, _ = labelled_sample(docs, labels, "toxic", bytes_per_class=25)
+    assert 2 <= len(small) <= 8 and labelled_sample(docs.limit(0), labels, "toxic") == ([], 0.5)
+
+
 # ---- personal data -------------------------------------------------------------------------------------------------
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -140,6 +220,16 @@ def test_base_spans_stay_and_redaction_takes_all(spark, docs, rows, none, tables
     assert pii.redact("x12345y", [("phone", 1, 4), ("card", 2, 6)]) == "x[PHONE]y"
 
 
+def test_no_added_span_overlaps_a_base_span(model):
+    """However many spans lie inside a longer one."""
+    inner = ".".join(["1.2.3.4"] * 12)
+    text = f"call {inner}@example.com (212) 555-0143 card 4111.1111.1111.1111.{inner}@x.org"
+    base = pii.base_spans(text)
+    assert sum(k == "ip" for k, *_ in base) > 8
+    for k, a, b in pii.all_spans(text, base, model):
+        assert (k, a, b) in base or all(b <= x or y <= a for _, x, y in base)
+
+
 def test_long_runs_take_linear_time(model):
     for t in ("a" * 300_000, "1" * 300_000, "1 " * 150_000, "+1 " * 80_000, "@a" * 80_000, "a@" * 80_000, "1." * 150_000, "(at)" * 40_000):
         pii.all_spans(t, pii.base_spans(t), model)
