@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -333,19 +333,28 @@ def all_spans(text: str, base: list[Span], model: Model) -> list[Span]:
     found = proposals(text)
     if not found:
         return base
-    taken = sorted((start, end) for _, start, end in base)
-    starts = [s for s, _ in taken]
+    # what is taken, as stretches that do not overlap, so that the one before a place tells all
+    starts: list[int] = []
+    ends: list[int] = []
+    for start, end in sorted((start, end) for _, start, end in base):
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+
     def free(start: int, end: int) -> bool:
         i = bisect_left(starts, end)
-        return i == 0 or all(e <= start for _, e in taken[max(0, i - 8) : i])
+        return i == 0 or ends[i - 1] <= start
 
     scored = [(model.probability(features(text, s)), s) for s in found if free(s[1], s[2])]
     more: list[Span] = []
     for p, span in sorted(scored, key=lambda x: (-x[0], x[1][1], -x[1][2])):
         if p >= model.thresholds[span[0]] and free(span[1], span[2]):
             more.append(span)
-            insort(taken, (span[1], span[2]))
-            starts.insert(bisect_right(starts, span[1]), span[1])
+            at = bisect_left(starts, span[1])
+            starts.insert(at, span[1])
+            ends.insert(at, span[2])
     return sorted([*base, *more], key=lambda s: (KINDS.index(s[0]), s[1], s[2])) if more else base
 
 
