@@ -4,9 +4,9 @@ Documents are taken in blocks of bounded token counts. In each block, a document
 sequences of their own; the rests are partitioned into near-equal windows: each rest starts as a partial partition with
 one filled window, and the two partial partitions with the largest spread are merged again and again, the fullest
 windows of one with the emptiest of the other, until one is left. The window count starts at the total over the capacity
-and rises whenever a window exceeds the capacity. Last, because documents may be cut freely, the emptiest windows are
-dissolved into the gaps of the others, so that all but the last are full; the last is cut into powers of two, which
-need no padding.
+and rises whenever a window exceeds the capacity. These windows are the sequences, so no document of up to ``capacity``
+ids is ever cut, and padding is what the window count leaves over: at most about one window in a block, unless the count
+has to rise.
 
 Null texts count as empty: their one id is the end id. Repeated rows are packed as often as they occur. Sequence ids are
 unique over the table: the task's partition number in the upper bits, a counter in the lower 40.
@@ -27,7 +27,7 @@ from gridloom.llm.common import map_batches, text_bytes
 
 CAPACITY = 4096
 #: Rests that are packed together, at most; bounds the memory of a task and the work of the differencing.
-BLOCK_RESTS = 512
+BLOCK_RESTS = 1024
 #: Bytes of ids after which a block ends early; a memory bound.
 BLOCK_BYTES = 32 << 20
 #: Words whose ids a worker remembers, and the longest of them; a memory bound without influence on results.
@@ -151,12 +151,13 @@ def differencing(sizes: list[int], count: int) -> list[list[int]]:
 def windows_within(sizes: list[int], capacity: int) -> list[list[int]]:
     """Near-equal windows, as few from the total over the capacity upwards as keep every window within it."""
     count = max(1, -(-sum(sizes) // capacity))
-    while True:
+    while sizes:
         windows = differencing(sizes, count)
         worst = max(sum(sizes[i] for i in w) for w in windows)
         if worst <= capacity:
             return [w for w in windows if w]
         count += max(1, (worst - capacity) * count // capacity // 4)
+    return []
 
 
 #: (document's position, start in it, length)
@@ -164,7 +165,8 @@ Piece = tuple[int, int, int]
 
 
 def pack_block(lengths: list[int], capacity: int = CAPACITY) -> list[list[Piece]]:
-    """Sequences of pieces for documents of these token counts. All hold ``capacity`` ids, or a power of two."""
+    """Sequences of pieces for documents of these token counts: whole windows of long documents, and near-equal windows of
+    the rests."""
     sequences: list[list[Piece]] = []
     rests: list[Piece] = []
     for i, n in enumerate(lengths):
@@ -172,38 +174,7 @@ def pack_block(lengths: list[int], capacity: int = CAPACITY) -> list[list[Piece]
         sequences += [[(i, at, capacity)] for at in range(0, whole, capacity)]
         if n > whole:
             rests.append((i, whole, n - whole))
-    if not rests:
-        return sequences
-    sizes = [r[2] for r in rests]
-    windows = [[rests[i] for i in w] for w in windows_within(sizes, capacity)]
-    windows.sort(key=lambda w: -sum(p[2] for p in w))
-    full = sum(sizes) // capacity
-    kept, pool = windows[:full], [p for w in windows[full:] for p in w]
-    for w in kept:
-        gap = capacity - sum(p[2] for p in w)
-        while gap:
-            doc, start, n = pool.pop()
-            take = min(gap, n)
-            w.append((doc, start, take))
-            if take < n:
-                pool.append((doc, start + take, n - take))
-            gap -= take
-    sequences += kept
-    left = sum(p[2] for p in pool)
-    while left:
-        size = 1 << (left.bit_length() - 1)
-        short: list[Piece] = []
-        gap = size
-        while gap:
-            doc, start, n = pool.pop()
-            take = min(gap, n)
-            short.append((doc, start, take))
-            if take < n:
-                pool.append((doc, start + take, n - take))
-            gap -= take
-        sequences.append(short)
-        left -= size
-    return sequences
+    return sequences + [[rests[i] for i in w] for w in windows_within([r[2] for r in rests], capacity)]
 
 
 COLUMNS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
