@@ -9,7 +9,8 @@ Chunks are deduplicated by a 128-bit digest of their bytes without white space a
 and then by place, stays. Of the others, runs of consecutive chunks with at least ``min_words`` words are removed.
 
 Null texts stay null. Texts without any repeated run come back unchanged, byte for byte. A text whose chunks all are
-repeats becomes empty. Rows of the same id count as one document, and must have the same text.
+repeats becomes empty. Rows of the same id and text count as one document; texts of the same id that differ are documents
+of their own, the first of which is that with the least hash.
 """
 
 from __future__ import annotations
@@ -100,22 +101,27 @@ def chunk_digests(data: bytes, ends: list[int]) -> list[bytes]:
 
 
 def chunks(docs: DataFrame, radius: int = RADIUS, text: str = "text", keep: str = "doc_id") -> DataFrame:
-    """(doc_id, place, digest) of every chunk."""
+    """(doc_id, version, place, digest) of every chunk; the version is a hash of the whole text."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, places, digests = [], [], []
-            for key, raw in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), strict=True):
+            rows: list[list] = [[], [], [], []]
+            for key, version, raw in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), text_bytes(b.column(1)), strict=True):
                 ends, _ = cuts(raw, radius)
-                ids += [key] * len(ends)
-                places += range(len(ends))
-                digests += chunk_digests(raw, ends)
-                if len(ids) > 1 << 16:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(digests, pa.binary())], names=["doc_id", "place", "digest"])
-                    ids, places, digests = [], [], []
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(digests, pa.binary())], names=["doc_id", "place", "digest"])
+                rows[0] += [key] * len(ends)
+                rows[1] += [version] * len(ends)
+                rows[2] += range(len(ends))
+                rows[3] += chunk_digests(raw, ends)
+                if len(rows[0]) > 1 << 16:
+                    yield batch(rows)
+                    rows = [[], [], [], []]
+            yield batch(rows)
 
-    return map_batches(docs.select(F.col(keep).cast("long").alias("doc_id"), text), run, "doc_id long, place int, digest binary")
+    def batch(rows: list[list]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names=["doc_id", "version", "place", "digest"])
+
+    return map_batches(docs.select(F.col(keep).cast("long").alias("doc_id"), text, F.xxhash64(text)), run, "doc_id long, version long, place int, digest binary")
 
 
 def without_runs(data: bytes, repeated: set[int], min_words: int = MIN_WORDS, radius: int = RADIUS) -> tuple[bytes, int, int]:
@@ -153,18 +159,19 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = R
     (ids of the documents that keep the first occurrences of what was removed, in order)."""
     # two passes over the chunks are cheaper than a table of all of them
     found = chunks(docs.where(F.col(keep).isNotNull()), radius, text, keep)
-    first = found.groupBy("digest").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("c"))
-    first = materialize(first.where("c > 1").select("digest", F.col("first.doc_id").alias("of"), F.col("first.place").alias("at")), "substring-first")
-    again = found.join(first, "digest").where("doc_id <> of OR place <> at").select("doc_id", "place", "of")
-    lists = again.groupBy("doc_id").agg(F.collect_set("place").alias("_places"), F.sort_array(F.collect_set("of")).alias("_of"))
-    lists = materialize(lists.withColumnRenamed("doc_id", keep), "substring-lists")
+    first = found.groupBy("digest").agg(F.min(F.struct("doc_id", "version", "place")).alias("first"), F.count("*").alias("c"))
+    first = materialize(first.where("c > 1").select("digest", F.col("first.doc_id").alias("of"), F.col("first.version").alias("as"), F.col("first.place").alias("at")), "substring-first")
+    again = found.join(first, "digest").where("doc_id <> of OR version <> as OR place <> at").select("doc_id", "version", "place", "of")
+    lists = again.groupBy("doc_id", "version").agg(F.collect_set("place").alias("_places"), F.sort_array(F.collect_set("of")).alias("_of"))
+    lists = materialize(lists.withColumnsRenamed({"doc_id": "_key", "version": "_version"}), "substring-lists")
     discard(first)
     columns = docs.columns
     names = [f"_c{i}" for i in range(len(columns))]
     kinds = dict(docs.dtypes)
     named = docs.toDF(*names)
-    joined = named.join(lists.withColumnRenamed(keep, "_key"), named[names[columns.index(keep)]].cast("long") == F.col("_key"), "left")
     where = columns.index(text)
+    own = (named[names[columns.index(keep)]].cast("long") == F.col("_key")) & (F.xxhash64(named[names[where]]) == F.col("_version"))
+    joined = named.join(lists, own, "left")
     schema = ", ".join([*(f"{n} {kinds[c]}" for n, c in zip(names, columns, strict=True)), "n_chunks_removed int, n_words_removed int, repeats_of array<bigint>"])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
