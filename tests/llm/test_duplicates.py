@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from gridloom.llm import ann, minhash, substring
@@ -129,19 +130,21 @@ def test_cuts_resist_insertions():
 
 
 def brute_dedup(rows):
-    """First occurrences stay; runs of repeated chunks go."""
+    """First occurrences stay, by id, hash of the text and place; runs of repeated chunks go."""
     first = {}
-    for i, t in sorted(((i, t) for i, t in set(rows) if i is not None and t), key=lambda x: x[0]):
+    version = {t: xxhash.xxh64(t.encode(), seed=42).intdigest() for _, t in rows if t}
+    signed = {t: v - (1 << 64) if v >= 1 << 63 else v for t, v in version.items()}
+    for i, t in sorted(((i, t) for i, t in set(rows) if i is not None and t), key=lambda x: (x[0], signed[x[1]])):
         data = t.encode()
         for place, digest in enumerate(substring.chunk_digests(data, substring.cuts(data)[0])):
-            first.setdefault(digest, (i, place))
+            first.setdefault(digest, (i, t, place))
     out = []
     for i, t in rows:
         if i is None or not t:
             out.append((i, t))
             continue
         data = t.encode()
-        again = {p for p, d in enumerate(substring.chunk_digests(data, substring.cuts(data)[0])) if first[d] != (i, p)}
+        again = {p for p, d in enumerate(substring.chunk_digests(data, substring.cuts(data)[0])) if first[d] != (i, t, p)}
         out.append((i, substring.without_runs(data, again)[0].decode()))
     return out
 
@@ -149,15 +152,17 @@ def brute_dedup(rows):
 def test_substring_dedup(spark, rows):
     rng = random.Random(3)
     passage = sentence(rng, 60)
-    every = [r for r in rows if r[0] != 18] + [(100 + k, f"{sentence(rng, 30)}\n{passage} {sentence(rng, 40)}") for k in range(12)] + [(200 + k, sentence(rng, 90)) for k in range(10)]
+    every = rows + [(18, sentence(rng, 150)), (18, sentence(rng, 30) + " " + passage), (18, passage + " and more")] + [(100 + k, f"{sentence(rng, 30)}\n{passage} {sentence(rng, 40)}") for k in range(12)] + [(200 + k, sentence(rng, 90)) for k in range(10)]
     df = spark.createDataFrame([(i, t, "k", [1]) for i, t in every], "doc_id long, text string, _key string, _places array<int>")
     out = substring.substring_dedup(df)
     got = out.collect()
     assert out.columns == [*df.columns, "n_chunks_removed", "n_words_removed", "repeats_of"]
     assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in got))) == sorted(map(repr, brute_dedup(every)))
     by = {r["doc_id"]: r for r in got}
-    assert sum(passage in (r["text"] or "") for r in got) == 1 and passage in by[100]["text"]
-    assert all(100 in by[100 + k]["repeats_of"] and by[100 + k]["n_words_removed"] > 30 for k in range(1, 12))
+    assert sum(passage in (r["text"] or "") for r in got) == 1 and all(passage not in by[100 + k]["text"] for k in range(12))
+    assert all(18 in by[100 + k]["repeats_of"] and by[100 + k]["n_words_removed"] > 30 for k in range(1, 12))
+    # an unlike text of the same id loses nothing
+    assert [t for i, t in every if i == 18][2] in {r["text"] for r in got if r["doc_id"] == 18}
     assert all(by[200 + k]["text"] == dict(every)[200 + k] and by[200 + k]["repeats_of"] == [] for k in range(10))
     assert substring.substring_dedup(df.limit(0)).count() == 0
 
@@ -202,9 +207,25 @@ def test_nearest(spark):
     assert [r["vec_id"] for r in few.orderBy("rank").collect()] == [j for _, j in exact(range(5), vectors[:5], [(0, vectors[0])], 20)[0]]
 
 
-def test_forest_recall(spark):
-    """Recall on the given vectors, from several blocks."""
-    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+def test_equal_vectors_and_ties(spark):
+    """A third of the rows hold one vector: ties go to smaller ids, and no row meets itself."""
+    rng = np.random.default_rng(8)
+    own = rng.standard_normal((60, 8))
+    rows = [(i, (own[0] if i % 3 == 0 else own[i % 60]).tolist()) for i in range(600)]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 20).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    want = exact([i for i, _ in rows], [v for _, v in rows], [r for r in rows if r[0] % 20 == 0], 20)
+    for q in (0, 60, 120):
+        assert [v for _, v in sorted(got[q])] == [j for _, j in want[q]]
+    hits = sum(len({v for _, v in got[q]} & {j for _, j in want[q]}) for q in want)
+    assert hits >= 0.95 * 20 * len(want)
+
+
+@pytest.mark.parametrize("name", ["sf0.1", "check_s"])
+def test_forest_recall(spark, name):
+    """Recall on the given vectors."""
+    df = spark.read.parquet(f"/root/testdata/{name}/embeddings.parquet")
     got = {}
     for r in ann.nearest(df, F.col("vec_id") % 20 == 0, 20).collect():
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
@@ -215,37 +236,78 @@ def test_forest_recall(spark):
         s = vectors @ vectors[ids == q][0]
         s[ids == q] = -np.inf
         hits += len(found & set(ids[np.lexsort((ids, -s))[:20]].tolist()))
-    assert hits >= 0.9 * 20 * len(got) and len(got) == (ids % 20 == 0).sum()
+    assert hits >= 0.92 * 20 * len(got) and len(got) == (ids % 20 == 0).sum()
 
 
-@pytest.mark.parametrize("n", [ann.BLOCK, 3 * ann.BLOCK])
-@pytest.mark.parametrize("lengths", ["unit", "gaussian", "lognormal"])
-def test_forest_recall_of_full_blocks(n, lengths):
-    rng = np.random.default_rng(1)
-    vectors = rng.standard_normal((n, 64))
-    if lengths == "unit":
-        vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
-    elif lengths == "lognormal":
-        vectors *= np.exp(0.5 * rng.standard_normal((n, 1)))
-    asked, ids, got = np.arange(0, n, n // 100)[:100], rng.permutation(n), {}
-    for at in np.array_split(ids, n // ann.BLOCK):
-        for q, v, s in ann.search(at, vectors[at], asked, vectors[asked], 20):
-            got.setdefault(q, []).append((-s, v))
+def measured(vectors, asked, count=None):
+    """Recall at 20 and the share of the vectors that were candidates, over blocks as build() deals them."""
+    rng = np.random.default_rng(3)
+    length = np.linalg.norm(vectors, axis=1)
+    ranges = np.minimum(ann.RANGES - 1, np.floor(np.log(length.max() / length) / np.log(ann.RATIO)))
+    blocks = []
+    for r in np.unique(ranges):
+        own = rng.permutation(np.flatnonzero(ranges == r))
+        for part in np.array_split(own, -(-len(own) // ann.BLOCK)):
+            blocks.append((ann.Block(vectors[part], part, np.arange(len(part) + 1), ann.Forest(vectors[part])), len(own)))
+    got, met = {}, 0
+    for q, v, _ in ann.search(iter(blocks), asked, vectors[asked], 20):
+        got.setdefault(q, set()).add(v)
+    for block, n in blocks:
+        low, high = block.forest.nodes(vectors[asked])
+        met += sum(len(block.forest.candidates(low[:, :, i], high[:, :, i], ann.reach(n) * block.forest.n / n, 21)) for i in range(len(asked)))
     hits = 0
     for q in asked.tolist():
         s = vectors @ vectors[q]
         s[q] = -np.inf
-        hits += len({v for _, v in sorted(got[q])[:20]} & set(np.argsort(-s, kind="stable")[:20].tolist()))
-    assert hits >= 0.95 * 20 * len(asked)
+        hits += len(got[q] & set(np.argsort(-s, kind="stable")[:20].tolist()))
+    return hits / (20 * len(asked)), met / len(asked) / len(vectors)
+
+
+@pytest.mark.parametrize(("lengths", "n", "share"), [("unit", 10_000, 0.42), ("unit", 50_000, 0.22), ("gaussian", 30_000, 0.35), ("lognormal", 30_000, 0.6)])
+def test_forest_recall_and_candidates(lengths, n, share):
+    """Vectors without any structure in 64 dimensions, the hardest case. The share falls as the table grows."""
+    rng = np.random.default_rng(1)
+    vectors = rng.standard_normal((n, 64))
+    if lengths != "gaussian":
+        vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    if lengths == "lognormal":
+        vectors *= np.exp(0.5 * rng.standard_normal((n, 1)))
+    recall, met = measured(vectors, np.arange(0, n, n // 80)[:80])
+    assert recall >= 0.9 and met <= share, (recall, met)
+
+
+def test_clustered_vectors_are_found():
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((400, 64))
+    vectors = centres[rng.integers(0, 400, 20_000)] + 0.25 * rng.standard_normal((20_000, 64))
+    recall, _ = measured(vectors, np.arange(0, 20_000, 250))
+    assert recall >= 0.99
 
 
-def test_ranges_hold_enough_and_ascend_to_the_root():
+def test_descent_and_ascent():
+    """Each tree's nodes shrink to its own longest match; the ascent takes the deepest level that holds enough."""
     rng = np.random.default_rng(6)
-    forest = ann.Forest(rng.standard_normal((200, 8)), trees=5)
-    low, high = forest.ranges(rng.standard_normal((9, 8)), 60)
-    assert ((high - low).sum(0) >= 60).all()
-    low, high = forest.ranges(rng.standard_normal((3, 8)), 10**9)
-    assert (low == 0).all() and (high == 200).all() and len(forest.candidates(low[:, 0], high[:, 0])) == 200
+    vectors = rng.standard_normal((500, 8))
+    forest = ann.Forest(vectors, trees=5)
+    low, high = forest.nodes(vectors[:9])
+    counts = high - low
+    assert (np.diff(counts, axis=0) <= 0).all() and (counts[0] == 500).all()
+    keys = forest.strings(np.column_stack([vectors[:9] / np.abs(vectors[:9]).max(1, keepdims=True), np.zeros(9)]))
+    for t in range(5):
+        for i in range(9):
+            for level, bits in enumerate(forest.levels):
+                shift = np.uint64(forest.bits - bits)
+                same = (forest.keys[t] >> shift) == (keys[t, i] >> shift) if bits else np.ones(500, bool)
+                assert counts[level, t, i] == same.sum()
+    for least in (1, 30, 200, 2500):
+        stop = forest.ascended(low[:, :, 0], high[:, :, 0], least)
+        held = counts[stop, np.arange(5), 0].sum()
+        assert held >= min(least, counts[stop, np.arange(5), 0].sum()) and stop.max() - stop.min() <= 1
+        deeper = np.minimum(stop + 1, len(counts) - 1)
+        assert least > 1 and counts[deeper.max(), np.arange(5), 0].sum() <= held or held >= 1
+    assert len(forest.candidates(low[:, :, 0], high[:, :, 0], 10**9, 21)) == 500
+    again = ann.Block.from_bytes(ann.Block(vectors, np.arange(500), np.arange(501), ann.Forest(vectors)).to_bytes())
+    assert again.forest.n == 500 and (again.forest.keys == ann.Forest(vectors).keys).all()
 
 
 def test_shared_folder_is_the_sessions(spark):
