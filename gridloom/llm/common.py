@@ -1,7 +1,7 @@
 """Shared helpers: places that every executor sees, materialised tables, Arrow batch mapping.
 
 Files and intermediate tables go below ``spark.checkpoint.dir``, the folder that the cluster shares. Where the session
-has none (tests, a laptop) a temporary folder is set once for the session.
+has none, a local master (tests, a laptop) gets a temporary folder, once for the session; a cluster raises.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ def shared_root(spark: SparkSession) -> str:
     """The folder that all executors and the driver see."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="gridloom-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
