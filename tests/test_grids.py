@@ -33,6 +33,32 @@ def test_domains():
             domains.domain(name)
 
 
+def test_supplied_rows(monkeypatch):
+    """N320 and its region follow from the row table that a caller gives."""
+    assert len(domains.N160_ROWS) == 160 and 2 * sum(domains.N160_ROWS) == 138346
+    for wrong in ([1, 2], [800] * 320):
+        with pytest.raises(BindError):
+            domains.supply_rows("N320", wrong)
+    with pytest.raises(BindError):
+        domains.supply_rows("N80", [800] * 320)
+    counts = [18 + 5 * i for i in range(320)]
+    counts[-1] += 271_040 - sum(counts)
+    monkeypatch.setattr(domains, "_supplied", {})
+    try:
+        domains.supply_rows("N320", counts)
+        whole, part = domains.domain("n320"), domains.domain(domains.N320_REGION)
+        assert whole.points == 542_080 and len(whole.rows) == 640
+        lat, lon = part.coordinates_of(*part.xy_of(np.arange(part.points)))
+        assert lon.min() >= -11 and lon.max() <= 37 and abs(lat.max() - 70.9601) < 1e-3 and abs(lat.min() - 33.0211) < 1e-3
+        all_lat, all_lon = whole.coordinates_of(*whole.xy_of(np.arange(whole.points)))
+        assert part.points == ((all_lon >= -11) & (all_lon <= 37) & (all_lat >= lat.min()) & (all_lat <= lat.max())).sum()
+        first = part.rows[67].point_count
+        assert lon[0] < 0 and part.segments[1].parent_begin == 0 and part.segments[0].parent_begin + part.segments[0].count == first
+    finally:
+        domains.domain.cache_clear()
+        domains._gaussian.cache_clear()
+
+
 GRIDS = [
     RotatedGrid(20, 30, policy=FLOAT64, x0=-5.0, y0=-7.0, dx=0.5, dy=0.5, north_pole_latitude=39.25, north_pole_longitude=-162.0, rotation=10.0),
     LambertGrid(20, 30, policy=FLOAT64, x0=-5e5, y0=-4e5, dx=3e4, dy=3e4, central_meridian=10.0, latitude_of_origin=50.0, standard_parallel_1=40.0, standard_parallel_2=60.0),
