@@ -11,6 +11,8 @@ from __future__ import annotations
 import itertools
 import json
 from dataclasses import asdict, dataclass, field
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,10 @@ from gridloom.plans.select import Range
 from gridloom.sources.paths import check_object, exists, redacted, version
 
 
+#: Ranges of one axis in a condition, and those of the first axis, which go to the scan; more become one.
+MAX_SPANS, MAX_PUSHED = 256, 32
+
+
 def _col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
@@ -110,15 +116,23 @@ class TableCube:
         self.meta = CubeMeta(variables, None, self.times, self.identity)
 
     def cells(self, meta: CubeMeta, ranges: dict[int, list[Range]] | None = None) -> DataFrame:
-        """The rows whose axis indices lie in the ranges."""
+        """The rows whose axis indices lie in the ranges. Those of the first axis, and the bounds that all axes together set,
+        are plain comparisons of the index, which reach the scan of a table that stores it."""
         place = self.index.cast("long")
         rows = self.df.select(place.alias("logical_index"), *(self.values[n].cast("float").alias(n) for n in meta.names))
-        for axis, listed in (ranges or {}).items():
-            at = F.call_function("div", F.col("logical_index"), F.lit(meta.strides()[axis])) % meta.shape[axis]
-            keep = F.lit(False)
-            for low, high in listed if len(listed) <= 256 else [(listed[0][0], listed[-1][1])]:
-                keep = keep | at.between(low, high)
-            rows = rows.where(keep)
+        ranges, strides, index = ranges or {}, meta.strides(), F.col("logical_index")
+        if any(not listed for listed in ranges.values()):
+            return rows.where(F.lit(False))
+        if ranges:
+            least, most = (sum((ranges[k][end][end] if k in ranges else (n - 1) * -end) * s for k, (n, s) in enumerate(zip(meta.shape, strides, strict=True))) for end in (0, -1))
+            rows = rows.where(index.between(least, most))
+        for axis, listed in ranges.items():
+            spans = listed if len(listed) <= (MAX_PUSHED if axis == 0 else MAX_SPANS) else [(listed[0][0], listed[-1][1])]
+            if axis == 0:
+                rows = rows.where(reduce(or_, (index.between(low * strides[0], (high + 1) * strides[0] - 1) for low, high in spans)))
+            else:
+                at = F.call_function("div", index, F.lit(strides[axis])) % meta.shape[axis]
+                rows = rows.where(reduce(or_, (at.between(low, high) for low, high in spans)))
         return rows
 
 
@@ -155,7 +169,7 @@ def write_cube(spark: SparkSession, path: str, arrays: dict[str, np.ndarray], ch
 
 def write_cells(cells: DataFrame, path: str, shape: tuple[int, ...], chunks: tuple[int, ...], values: list[str], axes: tuple[str, ...] | None = None, crs_wkt: str | None = None, times: tuple[int, ...] | None = None) -> str:
     """Writes a table (logical_index, values) as a cube of any size. A chunk's cells meet in one task: a chunk is bounded
-    by its shape. Cells that the table lacks are NaN; of repeated cells one stays."""
+    by its shape. Cells that the table lacks are NaN; of repeated cells the one with the largest values stays."""
     spark = cells.sparkSession
     variables = [Variable("" if v == "value" else "/" + v, tuple(shape), tuple(chunks), axes) for v in values]
     meta = CubeMeta(tuple(variables), crs_wkt, times)
@@ -165,19 +179,23 @@ def write_cells(cells: DataFrame, path: str, shape: tuple[int, ...], chunks: tup
         offsets.append((at - at % c).alias(f"off_{k}"))
         extents.append(F.least(F.lit(c).cast("long"), F.lit(n) - F.col(f"off_{k}")).alias(f"cnt_{k}"))
         inner = inner * F.least(F.lit(c).cast("long"), F.lit(n) - (at - at % c)) + at % c
-    placed = cells.select(*offsets, inner.alias("_pos"), *(_col(v).cast("float").alias(v) for v in values))
+    placed = cells.select(*offsets, inner.alias("_pos"), F.struct(*(_col(v).cast("float").alias(f"v{i}") for i, v in enumerate(values))).alias("v"))
     names = [f"off_{k}" for k in range(len(shape))]
-    found = placed.groupBy(*names).agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("_pos", F.array(*map(_col, values)).alias("v"))))).alias("_m"))
-    found = found.select(*names, *extents, "_m")
+    # one exchange by chunk serves both groupings; cells are sorted by place, with NaN in the places that lack one
+    single = placed.repartition(*names).groupBy(*names, "_pos").agg(F.max("v").alias("v"))
+    found = single.groupBy(*names).agg(F.collect_list(F.struct("_pos", "v")).alias("_c")).select(*names, *extents, "_c")
     count = F.lit(1).cast("long")
     for k in range(len(shape)):
         count = count * F.col(f"cnt_{k}")
-    every = F.sequence(F.lit(0).cast("long"), count - 1)
+    nothing = F.struct(*(F.lit(float("nan")).cast("float").alias(f"v{i}") for i in range(len(values))))
+    holes = F.array_except(F.sequence(F.lit(0).cast("long"), count - 1), F.transform("_c", lambda c: c["_pos"]))
+    filled = F.when(F.size("_c") == count, F.col("_c")).otherwise(F.concat("_c", F.transform(holes, lambda p: F.struct(p.alias("_pos"), nothing.alias("v")))))
+    ordered = found.withColumn("_c", F.sort_array(filled))
 
     def value(i: int):
-        return lambda p: F.coalesce(F.get(F.try_element_at("_m", p), F.lit(i)), F.lit(float("nan")).cast("float"))
+        return lambda c: F.coalesce(c["v"][f"v{i}"], F.lit(float("nan")).cast("float"))
 
-    arrays = [F.transform(every, value(i)).alias(v) for i, v in enumerate(values)]
-    found.select(*names, *(f"cnt_{k}" for k in range(len(shape))), *arrays).sortWithinPartitions(*names).write.mode("overwrite").parquet(f"{path}/chunks")
+    arrays = [F.transform("_c", value(i)).alias(v) for i, v in enumerate(values)]
+    ordered.select(*names, *(f"cnt_{k}" for k in range(len(shape))), *arrays).sortWithinPartitions(*names).write.mode("overwrite").parquet(f"{path}/chunks")
     spark.createDataFrame([(_meta_json(list(meta.variables), crs_wkt, times, None),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
     return path
