@@ -14,6 +14,7 @@ from gridloom.functions.grids import RegularGrid, Y_FASTEST, normalized
 from gridloom.operators import scan
 from gridloom.operators.scan import Bound
 from gridloom.plans import identity
+from gridloom.plans.select import around, meet
 from gridloom.plans.meta import check_names
 
 # Names in the sampling struct.
@@ -23,14 +24,14 @@ TILES = 1 << 16
 
 
 def region_table(spark: SparkSession, regions: list[Region]) -> DataFrame:
-    """Regions with envelopes and edges. Their number and vertices are capped, so the table may be broadcast."""
-    rows = [(r.id, *r.envelope, edges(r.polygons)) for r in regions if r.polygons]
-    return spark.createDataFrame(rows, f"region_id string, min_lon double, min_lat double, max_lon double, max_lat double, polygons {EDGES}")
+    """Regions with their edges. Their number and vertices are capped (40 bytes a vertex), so the table may be broadcast."""
+    return spark.createDataFrame([(r.id, edges(r.polygons)) for r in regions if r.polygons], f"region_id string, polygons {EDGES}")
 
 
 def join_points(points: DataFrame, regions: list[Region], lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """Each point once for every region that covers it. Points and envelopes meet by tile, an equi-join with the small
-    side broadcast; the envelope and the exact test decide."""
+    """Each point once for every region that covers it. Points and envelopes meet by tile, an equi-join whose small side
+    has about TILES rows of an id and four numbers and is broadcast; only then do the polygons join, each once, by region.
+    The envelope and the exact test decide."""
     spark = points.sparkSession
     boxes = [r.envelope for r in regions if r.polygons]
     if not boxes:
@@ -38,12 +39,13 @@ def join_points(points: DataFrame, regions: list[Region], lon: str = "lon", lat:
     area = sum((b[2] - b[0]) * (b[3] - b[1]) for b in boxes)
     size = max(0.05, math.sqrt(area / TILES))
     tile = lambda c: F.floor(c / F.lit(size)).cast("int")
-    table = region_table(spark, regions)
+    table = spark.createDataFrame([(r.id, *r.envelope) for r in regions if r.polygons], "region_id string, min_lon double, min_lat double, max_lon double, max_lat double")
     tiled = table.withColumn("_tx", F.explode(F.sequence(tile(F.col("min_lon")), tile(F.col("max_lon"))))).withColumn("_ty", F.explode(F.sequence(tile(F.col("min_lat")), tile(F.col("max_lat")))))
     placed = points.withColumns({"_tx": tile(F.col(lon)), "_ty": tile(F.col(lat))})
     met = placed.join(F.broadcast(tiled), ["_tx", "_ty"])
     inside = F.col(lon).between(F.col("min_lon"), F.col("max_lon")) & F.col(lat).between(F.col("min_lat"), F.col("max_lat"))
-    met = met.where(inside).where(covers_column(F.col("polygons"), F.col(lon), F.col(lat)))
+    met = met.where(inside).drop("min_lon", "min_lat", "max_lon", "max_lat", "_tx", "_ty").join(F.broadcast(region_table(spark, regions)), "region_id")
+    met = met.where(covers_column(F.col("polygons"), F.col(lon), F.col(lat)))
     return met.select(*points.columns, "region_id")
 
 
@@ -55,11 +57,9 @@ def _require_lonlat(b: Bound, category: str = "region_reference") -> None:
 def _points(b: Bound, regions: list[Region], where: str | None) -> DataFrame:
     selection = scan.chosen(b, where)
     boxes = [r.envelope for r in regions if r.polygons]
-    if boxes and isinstance(b.grid, RegularGrid):  # cells outside all envelopes can't match
-        low, high = min(x[1] for x in boxes), max(x[3] for x in boxes)
-        also = scan.chosen(b, f"lat BETWEEN {low!r}D AND {high!r}D")
-        for axis, ranges in also.ranges.items():
-            selection.ranges.setdefault(axis, ranges)
+    if boxes:  # cells outside all envelopes can't match
+        for axis, ranges in around(b.grid, b.spatial, boxes).items():
+            selection.ranges[axis] = meet(selection.ranges[axis], ranges) if axis in selection.ranges else ranges
     scan.note(b, "regions", selection)
     out = join_points(scan.project(b, b.source.cells(b.meta, selection.ranges)), regions)
     columns = [c for c in out.columns if c not in ("region_id", "om_source")]
