@@ -33,24 +33,52 @@ def check_object(path: object) -> str:
     return path.rstrip("/") if path != "/" else path
 
 
-def _classify(error: Exception) -> str:
-    """The kind of failure, from the exception's text."""
-    text = str(error)
-    for category, signs in {
-        "access_denied": ("AccessControl", "AccessDenied", "Permission denied", "403"),
-        "timeout": ("Timeout", "timed out"),
-        "extension_missing": ("No FileSystem for scheme", "UnsupportedFileSystem"),
-        "rate_limited": ("429", "SlowDown"),
-        "range_request": ("416", "RangeNotSatisfiable"),
-        "object_not_found": ("FileNotFound", "NoSuchKey", "404"),
-        "http": ("HTTP response", "HttpException", "Status Code: 5"),
-        "configuration": ("NoAuth", "NoAwsCredentials", "Wrong FS"),
-    }.items():
-        if any(s in text for s in signs):
-            return category
+#: Kinds of failure by the simple names of Java exceptions, and by the HTTP status that a service's exception holds.
+BY_CLASS = {
+    "AccessControlException": "access_denied",
+    "AccessDeniedException": "access_denied",
+    "AWSClientIOException": "transport",
+    "AWSNoResponseException": "transport",
+    "AWSServiceThrottledException": "rate_limited",
+    "ConnectTimeoutException": "timeout",
+    "FileNotFoundException": "object_not_found",
+    "HttpTimeoutException": "timeout",
+    "InterruptedIOException": "timeout",
+    "NoAuthWithAWSException": "configuration",
+    "NoAwsCredentialsException": "configuration",
+    "NoSuchBucketException": "object_not_found",
+    "NoSuchFileException": "object_not_found",
+    "NoSuchKeyException": "object_not_found",
+    "RangeNotSatisfiableEOFException": "range_request",
+    "SocketTimeoutException": "timeout",
+    "UnknownStoreException": "object_not_found",
+    "UnsupportedFileSystemException": "extension_missing",
+}
+BY_STATUS = {401: "access_denied", 403: "access_denied", 404: "object_not_found", 408: "timeout", 416: "range_request", 429: "rate_limited", 503: "rate_limited"}
+
+
+def category_of(chain: list[tuple[str, int | None]]) -> str:
+    """The kind of failure, from the (class name, HTTP status) of an exception and of its causes, outermost first."""
+    for name, status in chain:
+        if status is not None and status >= 400:
+            return BY_STATUS.get(status, "http")
+        if found := BY_CLASS.get(name.rsplit(".", 1)[-1]):
+            return found
     return "transport"
 
 
+def _classify(error: Exception) -> str:
+    """The kind of failure, from the classes of the Java exception and its causes; messages, which hold paths, don't count."""
+    java, chain = getattr(error, "java_exception", None), []
+    while java is not None and len(chain) < 16:
+        kind = java.getClass()
+        methods = {m.getName() for m in kind.getMethods() if m.getParameterCount() == 0}
+        status = next((getattr(java, m)() for m in ("statusCode", "getStatusCode") if m in methods), None)
+        chain.append((kind.getName(), status if isinstance(status, int) else None))
+        java = java.getCause()
+    return category_of(chain)
+
+
 def _file_system(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
