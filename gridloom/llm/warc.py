@@ -6,7 +6,9 @@ identifier (a name-based UUID), a timestamp from the 14-digit date, a type, and
 gzip members of their own, so an archive can be read from any record's offset.
 
 Equal payloads of at least ``MIN_REVISIT`` bytes are written once, by the record with the largest source id; the others
-become revisits with the same HTTP header and no payload.
+become revisits with the same HTTP header and no payload, which name the responding record, its URL and date in the
+standard header fields; the reader finds the responding row by that record's identifier. Each archive begins with a record
+about itself.
 
 Null payloads count as empty; a null URL becomes ``urn:none``. White space in URLs is percent-encoded, since ARC header lines
 are divided by spaces. Rows that repeat the responding id and its payload are responses too. A null source id never
@@ -41,6 +43,8 @@ FIELDS = {
     1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"),
     2: ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"),
 }
+#: The date of records laid out here.
+ARC_DATE = "20200101000000"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
@@ -53,7 +57,7 @@ class ArcRecord:
     block: bytes
 
 
-def arc_version_block(version: int, file_name: str, date: str = "20200101000000") -> bytes:
+def arc_version_block(version: int, file_name: str, date: str = ARC_DATE) -> bytes:
     """The first record of an ARC file, which names the layout of the header lines."""
     body = f"{version} 0 Origin\n{' '.join(FIELDS[version])}\n\n".encode()
     more = {1: "text/plain", 2: "text/plain 200 - - 0 " + file_name}[version]
@@ -118,8 +122,16 @@ def http_payload(block: bytes) -> tuple[bytes, bytes]:
     return (block, b"") if end < 0 else (block[: end + 4], block[end + 4 :])
 
 
-def to_warc(arc: ArcRecord, source_id: object, refers_to: object = None) -> bytes:
-    """The WARC record for an ARC record; with ``refers_to`` a revisit of that source's record."""
+def about(file_name: str, date: str = ARC_DATE) -> bytes:
+    """The record that an archive begins with."""
+    block = b"software: gridloom\r\nformat: WARC File Format 1.1\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {record_id('warcinfo', file_name)}", f"WARC-Date: {warc_date(date)}", f"WARC-Filename: {file_name}", f"WARC-Block-Digest: {sha1_label(block)}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}", "", ""]
+    return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
+
+
+def to_warc(arc: ArcRecord, source_id: object, refers_to: object = None, refers_url: str | None = None, refers_date: str | None = None) -> bytes:
+    """The WARC record for an ARC record; with ``refers_to`` a revisit of that source's record, which has that URL and date
+    or else the same ones."""
     head, payload = http_payload(arc.block)
     revisit = refers_to is not None
     block = head if revisit else arc.block
@@ -137,7 +149,9 @@ def to_warc(arc: ArcRecord, source_id: object, refers_to: object = None) -> byte
         f"X-Payload-Length: {len(payload)}",
     ]
     if revisit:
-        lines += [f"WARC-Profile: {PROFILE}", f"X-Refers-To-Source-Id: {refers_to}"]
+        other = refers_url or url
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(other, refers_to)}", f"WARC-Refers-To-Target-URI: {other}"]
+        lines += [f"WARC-Refers-To-Date: {warc_date(refers_date or arc.fields['Archive-date'])}"]
     lines += [f"Content-Type: {'application/http; msgtype=response' if head else arc.fields['Content-type']}", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
@@ -173,27 +187,33 @@ def parse_warc(stream: BinaryIO, read_size: int = 1 << 20) -> Iterator[tuple[dic
             raw = b""
 
 
-def decide(df: DataFrame, payload: str = "html", keep: str = "page_id") -> DataFrame:
-    """The rows with ``refers_to``: the largest id among equal payloads of at least MIN_REVISIT bytes, where that is another."""
+def decide(df: DataFrame, url: str = "url", payload: str = "html", keep: str = "page_id") -> DataFrame:
+    """The rows with ``refers_to``: the largest id among equal payloads of at least MIN_REVISIT bytes, where that is
+    another; and ``refers_url``, the URL of its row (the largest, where rows repeat the id)."""
     raw = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     rows = df.withColumns({"_digest": F.sha2(raw, 256), "_size": F.octet_length(raw)})
-    big = rows.where(F.col("_size") >= MIN_REVISIT).groupBy("_digest").agg(F.max(keep).alias("_first"), F.count("*").alias("_n"))
-    shared = materialize(big.where("_n > 1").select("_digest", "_first"), "warc-shared")
+    big = rows.where(F.col("_size") >= MIN_REVISIT).groupBy("_digest").agg(F.max(F.struct(F.col(keep).alias("id"), F.col(url).alias("url"))).alias("_f"), F.count("*").alias("_n"))
+    shared = materialize(big.where("_n > 1").select("_digest", F.col("_f.id").alias("_first"), F.col("_f.url").alias("_url")), "warc-shared")
     out = rows.join(shared, "_digest", "left")
     other = F.col("_first").isNotNull() & ~F.col("_first").eqNullSafe(F.col(keep))
-    return out.withColumn("refers_to", F.when(other, F.col("_first"))).drop("_digest", "_size", "_first")
+    return out.withColumns({"refers_to": F.when(other, F.col("_first")), "refers_url": F.when(other, F.coalesce("_url", F.lit("")))}).drop("_digest", "_size", "_first", "_url")
+
 
+def header_url(url: str | None) -> str:
+    """A URL as it may stand in a header line: white space is percent-encoded, none is ``urn:none``."""
+    return re.sub(r"\s", lambda m: "".join(f"%{c:02X}" for c in m[0].encode()), url or "urn:none")
 
-def write_archives(df: DataFrame, folder: str, url: str = "url", payload: str = "html", keep: str = "page_id", refers_to: str = "refers_to") -> DataFrame:
+
+def write_archives(df: DataFrame, folder: str, url: str = "url", payload: str = "html", keep: str = "page_id", refers_to: str = "refers_to", refers_url: str = "refers_url") -> DataFrame:
     """Lays every row out as an ARC record, converts it and appends it to the WARC archive that its task writes;
     (archive, records, bytes) of every archive, as a written table."""
 
     def arc_file(version: int, rows: list[tuple]) -> bytes:
         parts = [arc_version_block(version, "legacy.arc")]
         at = len(parts[0])
-        for _, address, body, _ in rows:
+        for _, address, body, *_ in rows:
             head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body)
-            parts.append(arc_record(version, address, "0.0.0.0", "20200101000000", "text/html", head + body, at, "legacy.arc"))
+            parts.append(arc_record(version, address, "0.0.0.0", ARC_DATE, "text/html", head + body, at, "legacy.arc"))
             at += len(parts[-1])
         return b"".join(parts)
 
@@ -201,18 +221,20 @@ def write_archives(df: DataFrame, folder: str, url: str = "url", payload: str =
         out, name, size, records, done, version = None, "", 0, 0, [], 1
         try:
             for b in batches:
-                ids, urls, refs = (b.column(i).to_pylist() for i in (0, 1, 3))
-                rows = [(i, re.sub(r"\s", lambda m: "".join(f"%{c:02X}" for c in m[0].encode()), u or "urn:none"), body, r) for i, u, body, r in zip(ids, urls, text_bytes(b.column(2)), refs, strict=True)]
+                ids, urls, refs, others = (b.column(i).to_pylist() for i in (0, 1, 3, 4))
+                rows = [(i, header_url(u), body, r, header_url(o)) for i, u, body, r, o in zip(ids, urls, text_bytes(b.column(2)), refs, others, strict=True)]
                 for start in range(0, len(rows), ARC_RECORDS):
                     some = rows[start : start + ARC_RECORDS]
-                    for (source_id, _, _, ref), arc in zip(some, parse_arc(arc_file(version, some)), strict=True):
+                    for (source_id, _, _, ref, other), arc in zip(some, parse_arc(arc_file(version, some)), strict=True):
                         if out is None or size > ARCHIVE_BYTES:
                             if out is not None:
                                 out.close()
                                 done.append((name, records, size))
                             name, out = new_file(folder, ".warc.gz")
-                            size = records = 0
-                        member = gzip_member(to_warc(arc, source_id, ref))
+                            first = gzip_member(about(name))
+                            out.write(first)
+                            size, records = len(first), 0
+                        member = gzip_member(to_warc(arc, source_id, ref, other, ARC_DATE))
                         out.write(member)
                         size, records = size + len(member), records + 1
                     version = 3 - version
@@ -225,15 +247,16 @@ def write_archives(df: DataFrame, folder: str, url: str = "url", payload: str =
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["archive", "records", "bytes"])
 
     make_folder(session_of(df), folder)
-    return materialize(map_batches(df.select(keep, url, payload, refers_to), run, "archive string, records long, bytes long"), "warc-manifest")
+    return materialize(map_batches(df.select(keep, url, payload, refers_to, refers_url), run, "archive string, records long, bytes long"), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
-    """(source_id, url, record_type, payload_bytes, payload_digest, refers_to) of every record of the archives."""
+    """(source_id, url, record_type, payload_bytes, payload_digest, record_id, refers_record) of every record of the
+    archives but those about themselves; identifiers without their frame."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        names = ["source_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to"]
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        names = ["source_id", "url", "record_type", "payload_bytes", "payload_digest", "record_id", "refers_record"]
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -243,7 +266,10 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
             for archive in b.column(0).to_pylist():
                 with open_file(folder, archive) as stream:
                     for fields, block in parse_warc(stream):
-                        kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"]
+                        kind = fields["WARC-Type"]
+                        if kind == "warcinfo":
+                            continue
+                        digest = fields["WARC-Payload-Digest"]
                         if kind == "revisit":
                             size = int(fields["X-Payload-Length"])
                         else:
@@ -251,8 +277,9 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                             size = len(payload)
                             if sha1_label(payload) != digest:
                                 raise ValueError(f"payload of {fields['WARC-Record-ID']} is damaged")
-                        number = lambda x: int(x) if x else None
-                        rows.append((number(fields["X-Source-Id"]), fields["WARC-Target-URI"], kind, size, base64.b32decode(digest.removeprefix("sha1:")).hex(), number(fields.get("X-Refers-To-Source-Id", ""))))
+                        own = fields["X-Source-Id"]
+                        bare = lambda x: x and x.removeprefix("<urn:uuid:").removesuffix(">")
+                        rows.append((int(own) if own else None, fields["WARC-Target-URI"], kind, size, base64.b32decode(digest.removeprefix("sha1:")).hex(), bare(fields["WARC-Record-ID"]), bare(fields.get("WARC-Refers-To"))))
                         if len(rows) >= 4096:
                             yield batch(rows)
                             rows = []
@@ -260,11 +287,20 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
             yield batch(rows)
 
     parts = max(1, manifest.count())
-    return map_batches(manifest.select("archive").repartition(parts), run, "source_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long")
+    return map_batches(manifest.select("archive").repartition(parts), run, "source_id long, url string, record_type string, payload_bytes long, payload_digest string, record_id string, refers_record string")
+
+
+def resolved(records: DataFrame) -> DataFrame:
+    """The records with ``refers_to``, the source id of the record that a revisit names. Only revisits and the records that
+    they name are joined."""
+    wanted = records.where(F.col("refers_record").isNotNull()).select(F.col("refers_record").alias("record_id")).distinct()
+    named = records.where("record_type <> 'revisit'").join(wanted, "record_id", "left_semi").select("record_id", "source_id").distinct()
+    named = materialize(named.select(F.col("record_id").alias("refers_record"), F.col("source_id").alias("refers_to")), "warc-named", narrow=True)
+    return records.join(named, "refers_record", "left")
 
 
 def archive_round_trip(df: DataFrame, url: str = "url", payload: str = "html", keep: str = "page_id") -> DataFrame:
     """Writes every row as a WARC record and reads the archives back."""
     folder = new_folder(session_of(df), "warc")
-    manifest = write_archives(decide(df.select(keep, url, payload), payload, keep), folder, url, payload, keep)
-    return read_archives(manifest, folder)
+    manifest = write_archives(decide(df.select(keep, url, payload), url, payload, keep), folder, url, payload, keep)
+    return resolved(materialize(read_archives(manifest, folder), "warc-records"))

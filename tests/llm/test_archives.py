@@ -60,6 +60,26 @@ def test_arc_layouts(version):
         list(warc.parse_warc(io.BytesIO(member[:-9])))
 
 
+def test_revisits_name_the_responding_record(spark):
+    """By the standard fields, in every archive that begins with a record about itself."""
+    folder = new_folder(spark, "warc-test")
+    manifest = warc.write_archives(warc.decide(pages(spark, PAGES)), folder)
+    found = []
+    for r in manifest.collect():
+        with open_file(folder, r["archive"]) as stream:
+            records = [f for f, _ in warc.parse_warc(stream)]
+        assert records[0]["WARC-Type"] == "warcinfo" and records[0]["WARC-Filename"] == r["archive"] and len(records) == r["records"] + 1
+        found += records[1:]
+    by = {f["WARC-Record-ID"]: f for f in found}
+    revisits = [f for f in found if f["WARC-Type"] == "revisit"]
+    assert len(revisits) == 2
+    for f in revisits:
+        first = by[f["WARC-Refers-To"]]
+        assert (first["WARC-Type"], first["X-Source-Id"]) == ("response", "2")
+        assert (f["WARC-Refers-To-Target-URI"], f["WARC-Refers-To-Date"]) == (first["WARC-Target-URI"], first["WARC-Date"])
+        assert f["WARC-Payload-Digest"] == first["WARC-Payload-Digest"]
+
+
 def test_wrong_arcs():
     good = warc.arc_version_block(1, "f") + warc.arc_record(1, "u", "i", "d", "t", b"12345")
     for wrong in (good[:-4], good.replace(b"u i d t 5", b"u i d t 99"), good.replace(b"u i d t 5", b"u i d 5"), good.replace(b"1 0 Origin", b"9 0 Origin")):
