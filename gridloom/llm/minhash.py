@@ -13,7 +13,8 @@ uncompared unless it is in one component, and large groups of copies cost a few
 sketches agree too little to be links are dropped; all others are confirmed on the full sets.
 
 Null texts and texts without words have an empty set and link with nothing; a null id links with nothing and is kept.
-Rows that repeat an id share its component; equal texts are always in one component.
+Rows that repeat an id share its component, and its links are those of all its texts; equal texts are always in one
+component. With ``agree=0`` no pair is dropped by its sketches, and all that share a band are compared on their sets.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ AGREE = 0.625
 #: Members of a bucket's largest component that are compared with all members outside it, and how often others take
 #: their place, before the members outside are compared with all others.
 PIVOTS, PIVOT_ROUNDS = 4, 2
-#: Documents of a family in one block of that comparison.
-BLOCK = 256
+#: Documents of a family in one block of that comparison, and bytes of their sets.
+BLOCK, BLOCK_BYTES = 256, 16 << 20
 #: Words whose hashes a worker remembers; a memory bound without influence on results.
 CACHED_WORDS = 200_000
 
@@ -111,36 +112,40 @@ def sketches(docs: DataFrame, width: int, text: str = "text", keep: str = "doc_i
             for raw in text_bytes(b.column(1)):
                 s = shingle_set(raw, width, hashes)
                 sizes.append(len(s))
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                digests.append(_digest(s.tobytes()) if len(s) else None)
                 out.append(sketch(s).view(np.int32) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "n", "digest", "sketch"])
 
     return map_batches(docs.select(F.col(keep).alias("doc_id"), text), run, "doc_id long, n long, digest binary, sketch array<int>")
 
 
+def _digest(elements: bytes) -> bytes:
+    return hashlib.blake2b(elements, digest_size=16).digest()
+
+
 def _agreeing(pairs: DataFrame, least: float) -> DataFrame:
-    """(a, b) of the rows (a, b, left, right) whose sketches agree in that share of coordinates."""
+    """(a, b, da, db) of the rows (a, b, da, db, left, right) whose sketches agree in that share of coordinates."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x, y = (b.column(i).flatten().to_numpy().reshape(-1, COORDINATES) for i in (2, 3))
+                x, y = (b.column(i).flatten().to_numpy().reshape(-1, COORDINATES) for i in (4, 5))
                 good = pa.array((x == y).sum(1) >= least * COORDINATES)
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(good), b.column(1).filter(good)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([b.column(i).filter(good) for i in range(4)], names=["a", "b", "da", "db"])
 
-    return map_batches(pairs.select("a", "b", "left", "right"), run, "a long, b long")
+    return map_batches(pairs.select("a", "b", "da", "db", "left", "right"), run, "a long, b long, da binary, db binary")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, elements) of documents."""
+    """(doc_id, digest, elements) of documents: the set's digest and the set."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
             out = [shingle_set(raw, width, hashes).tobytes() for raw in text_bytes(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["doc_id", "elements"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(_digest, out), pa.binary()), pa.array(out, pa.binary())], names=["doc_id", "digest", "elements"])
 
-    return map_batches(docs, run, "doc_id long, elements binary")
+    return map_batches(docs, run, "doc_id long, digest binary, elements binary")
 
 
 def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
@@ -156,7 +161,7 @@ def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
     return map_batches(pairs.select("a", "b", "left", "right"), run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", keep: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", keep: str = "doc_id", agree: float = AGREE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row. Documents are linked at a similarity of at least
     ``percent``; the component is the least id that links reach."""
     rows = docs.select(F.col(keep).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -164,13 +169,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     valid = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     copies = made.where(valid).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").select("digest", "rep")
     copies = materialize(copies, "near-copies")
-    member = made.join(copies, "digest", "left").select("doc_id", "n", "sketch", F.when(valid, F.coalesce("rep", "doc_id")).alias("rep"))
+    member = made.join(copies, "digest", "left").select("doc_id", "n", "digest", "sketch", F.when(valid, F.coalesce("rep", "doc_id")).alias("rep"))
     member = materialize(member, "near-members")
     discard(made)
     discard(copies)
     own = member.where(valid & (F.col("rep") == F.col("doc_id")))
-    reps = own.select("doc_id", "n", "sketch").dropDuplicates(["doc_id"])
+    # a set each; an id of unlike texts has several
+    reps = own.select("doc_id", "digest", "n", "sketch").dropDuplicates(["doc_id", "digest"])
     reps = materialize(reps, "near-representatives")
+    several = member.where(valid).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
+    joined = member.where(valid).join(several, "doc_id").select("a", F.col("rep").alias("b")).where("a <> b").distinct()
 
     placed = reps.select("doc_id", F.posexplode(_bands(F.col("sketch"))).alias("band", "key"))
     crowded = placed.groupBy("key", "band").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1")
@@ -179,7 +187,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     discard(crowded)
 
     pairs = members.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    links = _verify(pairs.distinct(), reps, rows, width, percent)
+    links = _verify(pairs.distinct(), reps, rows, width, percent, agree).unionAll(joined)
     labels = materialize(components(links), "near-components", narrow=True)
     for turn in range(PIVOT_ROUNDS + 1):
         # buckets of three or more whose members are in different components; the largest component of each is its main one
@@ -198,11 +206,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
             pivots = known.where("label = main").groupBy("key", "band", F.pmod(drawn, F.lit(PIVOTS))).agg(F.min_by(F.struct(known.columns), drawn).alias("p")).select("p.*")
             same = (F.col("key") == F.col("o_key")) & (F.col("band") == F.col("o_band"))
             near = F.least("n", "o_n") * 100 >= F.greatest("n", "o_n") * percent
-            agreeing = F.size(F.filter(F.zip_with("sketch", "o_sketch", lambda x, y: x == y), lambda e: e)) >= AGREE * COORDINATES
+            agreeing = F.size(F.filter(F.zip_with("sketch", "o_sketch", lambda x, y: x == y), lambda e: e)) >= agree * COORDINATES
             pairs = pivots.join(outside, same & near & agreeing).select(F.least("doc_id", "o_doc_id").alias("a"), F.greatest("doc_id", "o_doc_id").alias("b"))
-            found = _verify(pairs.distinct(), reps, rows, width, percent)
+            found = _verify(pairs.distinct(), reps, rows, width, percent, agree)
         else:
-            found = _outsiders(known, reps, rows, width, percent)
+            found = _outsiders(known, reps, rows, width, percent, agree)
         for x in (open_, main):
             discard(x)
         if found.isEmpty():
@@ -213,7 +221,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
 
     out = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = materialize(out, "near-result")
+    for x in (member, reps, members, labels):
+        discard(x)
+    return out
 
 
 def _bands(sketch_column: Column) -> Column:
@@ -222,17 +234,20 @@ def _bands(sketch_column: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda j: F.xxhash64(j, F.slice(sketch_column, j * BAND + 1, BAND)))
 
 
-def _outsiders(known: DataFrame, reps: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+def _outsiders(known: DataFrame, reps: DataFrame, rows: DataFrame, width: int, percent: int, agree: float) -> DataFrame:
     """The links, as a written table, among members of open buckets that are in different components.
 
     Buckets that share members are a family. In it every document outside the family's largest component is compared with
-    all others, in blocks: a task holds about BLOCK members and BLOCK outsiders, or as many of several small families.
-    Only links leave it.
+    all others, in blocks: a task holds about BLOCK members and BLOCK outsiders, or as many of several small families, or
+    fewer where their sets are large. Only links leave it.
     """
     family = materialize(components(known.select(F.col("first").alias("a"), F.col("doc_id").alias("b"))), "near-families", narrow=True)
     docs = known.select("doc_id", "label").distinct().join(family.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "doc_id")
+    docs = docs.join(reps.groupBy("doc_id").agg(F.sum("n").alias("w")), "doc_id")
     docs = materialize(docs, "near-family-members", narrow=True)
-    sizes = docs.groupBy("family", "label").agg(F.count("*").alias("c"))
+    # a document weighs one, or as many as its set's bytes are of a block's share
+    weight = F.greatest(F.lit(1), F.ceil(F.col("w") * 8 * BLOCK / BLOCK_BYTES))
+    sizes = docs.groupBy("family", "label").agg(F.sum(weight).alias("c"))
     sizes = sizes.groupBy("family").agg(F.sum("c").alias("size"), F.max_by("label", F.struct("c", -F.col("label"))).alias("main"), F.max("c").alias("largest"))
     sizes = materialize(sizes.where("size > largest"), "near-family-sizes", narrow=True)
     small = sizes.where(F.col("size") <= BLOCK).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
@@ -245,8 +260,8 @@ def _outsiders(known: DataFrame, reps: DataFrame, rows: DataFrame, width: int, p
             "outer": F.when(alone, F.ceil((F.col("size") - F.col("largest")) / BLOCK)).otherwise(F.lit(1)).cast("int"),
         }
     )
-    sets = materialize(_sets(rows.join(docs.select("doc_id"), "doc_id").select("doc_id", "text"), width).dropDuplicates(["doc_id"]), "near-sets")
-    full = materialize(placed.join(reps.select("doc_id", "n", "sketch"), "doc_id").join(sets, "doc_id"), "near-family-sets")
+    sets = materialize(_sets(rows.join(docs.select("doc_id"), "doc_id").select("doc_id", "text"), width).dropDuplicates(["doc_id", "digest"]), "near-sets")
+    full = materialize(placed.join(reps, "doc_id").join(sets, ["doc_id", "digest"]), "near-family-sets")
     columns = ["family", "doc_id", "label", "main", "n", "sketch", "elements", "unit", "i", "j"]
     block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -263,7 +278,7 @@ def _outsiders(known: DataFrame, reps: DataFrame, rows: DataFrame, width: int, p
             for fam, doc, label, n, sk, el in others:
                 apart = (own["family"] == fam) & (own["label"] != label) & ((own["label"] == own["main"]) | (own["doc_id"] < doc))
                 near = np.flatnonzero(apart & (np.minimum(own["n"], n) * 100 >= np.maximum(own["n"], n) * percent))
-                near = near[(sketches_[near] == np.array(sk, np.int32)).sum(1) >= AGREE * COORDINATES]
+                near = near[(sketches_[near] == np.array(sk, np.int32)).sum(1) >= agree * COORDINATES]
                 x = np.frombuffer(el, np.uint64)
                 for k in near.tolist():
                     if _linked(x, elements[k], percent):
@@ -286,19 +301,19 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def _verify(pairs: DataFrame, reps: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, reps: DataFrame, rows: DataFrame, width: int, percent: int, agree: float) -> DataFrame:
     """The links among pairs (a, b), as a written table."""
-    left = reps.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("left"))
-    right = reps.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("right"))
+    left = reps.select(F.col("doc_id").alias("a"), F.col("digest").alias("da"), F.col("n").alias("na"), F.col("sketch").alias("left"))
+    right = reps.select(F.col("doc_id").alias("b"), F.col("digest").alias("db"), F.col("n").alias("nb"), F.col("sketch").alias("right"))
     pairs = materialize(pairs, "near-pairs", narrow=True)
     sized = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    near = materialize(_agreeing(sized, AGREE), "near-agreeing")
+    near = materialize(_agreeing(sized, agree), "near-agreeing")
     needed = near.select(F.col("a").alias("doc_id")).unionAll(near.select(F.col("b").alias("doc_id"))).distinct()
     needed = materialize(needed, "near-needed", narrow=True)
-    sets = _sets(rows.join(needed, "doc_id").select("doc_id", "text"), width).dropDuplicates(["doc_id"])
+    sets = _sets(rows.join(needed, "doc_id").select("doc_id", "text"), width).dropDuplicates(["doc_id", "digest"])
     sets = materialize(sets, "near-sets")
-    held = near.join(sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("left")), "a")
-    held = held.join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("right")), "b")
+    held = near.join(sets.select(F.col("doc_id").alias("a"), F.col("digest").alias("da"), F.col("elements").alias("left")), ["a", "da"])
+    held = held.join(sets.select(F.col("doc_id").alias("b"), F.col("digest").alias("db"), F.col("elements").alias("right")), ["b", "db"])
     found = materialize(_confirmed(held, percent), "near-links")
     for x in (pairs, near, needed, sets):
         discard(x)

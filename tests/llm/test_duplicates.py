@@ -64,11 +64,14 @@ def grown(seed, copies, edits):
 def test_near_duplicates(spark, rows):
     rng = random.Random(9)
     more = grown(1, 60, 9) + grown(2, 25, 3) + [" ".join(f"u{rng.randrange(50)}" for _ in range(rng.randrange(1, 40))) for _ in range(30)]
-    every = [r for r in rows if r[0] != 18] + list(enumerate(more, 100))
+    # unlike texts of one id: a copy of another document, and a near copy of a third
+    every = rows + [(18, more[0]), (18, more[62]), (19, more[62])] + list(enumerate(more, 100))
     df = spark.createDataFrame(every, "doc_id long, text string").withColumn("rep", F.lit("clash"))
     got = minhash.near_duplicates(df, width=2).collect()
     want = brute(every, 2)
     assert len(got) == len(every)
+    plain = minhash.near_duplicates(df, width=2, agree=0.0)
+    assert sorted(map(repr, plain.collect())) == sorted(map(repr, got))
     for r in got:
         assert r["component_id"] == want[(r["doc_id"], r["n_shingles"])], r
         assert r["kept"] == (r["doc_id"] is None or r["doc_id"] == r["component_id"])
