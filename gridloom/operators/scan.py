@@ -214,6 +214,7 @@ def note(b: Bound, kind: str, selection: Selection, query: str | None = None) ->
             "fallback_reasons": selection.reasons,
             "ranges": {str(k): v[:16] for k, v in selection.ranges.items()},
             "variables": b.meta.names,
+            "table": isinstance(b.source, TableCube),
         },
     )
 

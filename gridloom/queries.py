@@ -12,18 +12,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.geometry import covers_column, edges, haversine_column, polygon_wkb
-from gridloom.functions.grids import GaussianRow, LambertGrid, RotatedGrid, Segment, StereographicGrid, gaussian
+from gridloom.errors import BindError, SourceError
+from gridloom.functions.geometry import EDGES, covers_column, edges, haversine_column, parse_regions, polygon_wkb
+from gridloom.functions.grids import FLOAT32, FLOAT64, GaussianRow, LambertGrid, RotatedGrid, Segment, StereographicGrid, gaussian, parse_grid
 from gridloom.operators.describe import grid_info
 from gridloom.operators.regions import join_points, read_regions
 from gridloom.operators.scan import bind, project, read_array, read_raw
 from gridloom.operators.series import lattice, read_series
-from gridloom.functions.geometry import EDGES, parse_regions
-from gridloom.plans import domains
+from gridloom.plans import domains, identity
 from gridloom.plans import series as series_plans
 from gridloom.plans.metrics import last_scan_metrics
 from gridloom.sources.cubes import TableCube, write_cells
 from gridloom.sources.paths import scratch
+from gridloom.streaming.arrivals import arriving
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,8 +50,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> int:
-    """Rows of 100 events each; the last, shorter one is left out by the shape."""
-    return (table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] + 1) // NX
+    """Rows of 100 events each; the last one may be shorter."""
+    return (table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] + NX) // NX
 
 
 def cube(spark: SparkSession, sf_dir: str, axes=("lat", "lon"), shape=None, values=None) -> TableCube:
@@ -70,7 +71,7 @@ def scan(spark: SparkSession, sf_dir: str, where: str | None = None, **more) ->
 
 #: The same relation in SQL: id, y, x, lat, lon, value.
 G = """
-WITH n AS (SELECT (max(event_id) + 1) // 100 AS ny FROM events),
+WITH n AS (SELECT (max(event_id) + 100) // 100 AS ny FROM events),
 i AS (SELECT event_id AS id, event_id // 100 AS y, event_id % 100 AS x, ny, CASE WHEN isnan(value::FLOAT) THEN NULL ELSE value::FLOAT END AS value
       FROM events, n WHERE event_id < ny * 100),
 g AS (SELECT id, y, x, value, -40.0::DOUBLE + y::DOUBLE * (80.0::DOUBLE / ny) AS lat,
@@ -115,7 +116,7 @@ def _two(spark, sf_dir) -> TableCube:
 
 
 TWO = """
-WITH n AS (SELECT (max(event_id) + 1) // 100 AS ny FROM events)
+WITH n AS (SELECT (max(event_id) + 100) // 100 AS ny FROM events)
 SELECT {} FROM (SELECT user_id::FLOAT AS "user", value::FLOAT AS value FROM events, n WHERE event_id < ny * 100)
 """
 
@@ -151,9 +152,18 @@ def f4_seam_union(spark, sf_dir):
     return scan(spark, sf_dir, "lon >= 179 OR lon < -179")
 
 
-@register(SPATIAL + "lat > 20 AND lat < 10")
+def _counted(spark, sf_dir, where: str) -> DataFrame:
+    """Rows that a condition leaves, of all."""
+    some, every = (scan(spark, sf_dir, w).agg(F.count("*").alias(n)) for w, n in ((where, "n"), (None, "total")))
+    return some.join(every)
+
+
+COUNTED = G + "SELECT count(*) FILTER (WHERE {}) AS n, count(*) AS total FROM g"
+
+
+@register(COUNTED.format("lat > 20 AND lat < 10"))
 def f5_empty_proof(spark, sf_dir):
-    return scan(spark, sf_dir, "lat > 20 AND lat < 10")
+    return _counted(spark, sf_dir, "lat > 20 AND lat < 10")
 
 
 @register(SPATIAL + "lat BETWEEN -90 AND 90 AND lon >= -180")
@@ -167,17 +177,17 @@ def f9_residual(spark, sf_dir):
     return scan(spark, sf_dir, "abs(lat) < 3 OR NOT (value < 90)")
 
 
-@register(SPATIAL + "lon BETWEEN 170 AND -170")
+@register(COUNTED.format("lon BETWEEN 170 AND -170"))
 def f16_no_wrap(spark, sf_dir):
-    return scan(spark, sf_dir, "lon BETWEEN 170 AND -170")
+    return _counted(spark, sf_dir, "lon BETWEEN 170 AND -170")
 
 
-@register(G + "SELECT count(*) AS n FROM g WHERE 1 = 0")
+@register(COUNTED.format("1 = 0").replace("count(*) AS total", "count(*) FILTER (WHERE lat BETWEEN -7 AND 3.5 AND (lon > 175 OR lon BETWEEN -179.5 AND -160)) AS total"))
 def f_pruned_equals_full(spark, sf_dir):
-    """Both-way difference of pruned and full scans: no rows."""
+    """Both-way difference of pruned and full scans, and the pruned rows."""
     where = "lat BETWEEN -7 AND 3.5 AND (lon > 175 OR lon BETWEEN -179.5 AND -160)"
     pruned, full = scan(spark, sf_dir, where), scan(spark, sf_dir).where(where)
-    return pruned.exceptAll(full).unionAll(full.exceptAll(pruned)).agg(F.count("*").alias("n"))
+    return pruned.exceptAll(full).unionAll(full.exceptAll(pruned)).agg(F.count("*").alias("n")).join(pruned.agg(F.count("*").alias("total")))
 
 
 # ---- five semantic axes --------------------------------------------------------------------------------------------
@@ -190,7 +200,7 @@ AXES = {
 }
 NAMES = ("time", "level", "lead_time", "member")
 FIVE = """
-WITH n AS (SELECT (max(event_id) + 1) // 1000 AS nt FROM events),
+WITH n AS (SELECT (max(event_id) + 1000) // 1000 AS nt FROM events),
 c AS (SELECT event_id // 1000 AS t, event_id // 100 % 10 AS l, event_id // 10 % 10 AS d, event_id % 10 AS m, value::FLOAT AS value FROM events, n WHERE event_id < nt * 1000),
 f AS (SELECT CASE WHEN isnan(value) THEN NULL ELSE value END AS value, TIMESTAMP '2026-01-01 00:00:00' + INTERVAL '1 hour' * (6 * t)::INT AS valid_time,
              [1000, 925, 850, 700, 500, 400, 300, 250, 200, 100][l + 1]::DOUBLE AS level, d * 3 * 3600 * 1000000 AS lead_us, 100 - 2 * m AS member FROM c)
@@ -199,7 +209,7 @@ SELECT value, valid_time, level, lead_us::BIGINT AS lead_us, member::BIGINT AS m
 
 
 def _five(spark, sf_dir, where=None) -> DataFrame:
-    n = (table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] + 1) // 1000
+    n = (table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] + 1000) // 1000
     df = table(spark, sf_dir, "events").where(F.col("event_id") < n * 1000)
     c = TableCube(df, F.col("event_id"), {"value": F.col("value")}, (n, 10, 10, 10), NAMES, identity="events-5")
     out = read_array(spark, c, axes=AXES, where=where)
@@ -253,7 +263,7 @@ def a12_y_fastest(spark, sf_dir):
 GAUSSIAN_ROWS = (GaussianRow(60.0, 20, 0.0, 18.0), GaussianRow(20.0, 30, 0.0, 12.0), GaussianRow(-20.0, 30, 0.0, 12.0), GaussianRow(-60.0, 20, 0.0, 18.0))
 GAUSSIAN = """
 WITH r(lat, first, n, step) AS (VALUES (60.0::DOUBLE, 0, 20, 18.0::DOUBLE), (20.0, 20, 30, 12.0), (-20.0, 50, 30, 12.0), (-60.0, 80, 20, 18.0)),
-n AS (SELECT (max(event_id) + 1) // 100 AS ny FROM events),
+n AS (SELECT (max(event_id) + 100) // 100 AS ny FROM events),
 e AS (SELECT event_id // 100 AS sample, event_id % 100 AS point, value::FLOAT AS value FROM events, n WHERE event_id < ny * 100),
 g AS (SELECT sample, point, CASE WHEN isnan(value) THEN NULL ELSE value END AS value, lat, (point - first) * step AS east FROM e JOIN r ON point >= first AND point < first + n),
 p AS (SELECT sample, point, value, lat, CASE WHEN east >= 180 THEN east - 360 ELSE east END::DOUBLE AS lon FROM g)
@@ -264,9 +274,7 @@ def _gaussian(spark, sf_dir, segments=(), where=None) -> DataFrame:
     g = gaussian(2, "explicit_v1", GAUSSIAN_ROWS, segments)
     c = cube(spark, sf_dir, ("sample", "point"))
     if segments:
-        df = c.df.where(F.col("event_id") % NX < g.points)
-        index = F.call_function("div", F.col("event_id"), F.lit(NX)) * g.points + F.col("event_id") % NX
-        c = TableCube(df, index, c.values, (c.meta.shape[0], g.points), ("sample", "point"), identity="events-subset")
+        c = cube(spark, sf_dir, ("sample", "point"), (c.meta.rows // g.points, g.points))
     return read_array(spark, c, grid=g, spatial_axes=["point"], where=where, include_source=True)
 
 
@@ -283,9 +291,9 @@ def f12_window_preflight(spark, sf_dir):
 @register(
     GAUSSIAN
     + """, s(first, n, parent) AS (VALUES (0, 5, 45), (5, 10, 20), (15, 10, 50)),
-q AS (SELECT sample, parent + point - first AS parent_point, point AS local FROM e JOIN s ON point >= first AND point < first + n)
-SELECT v.value, p.lat, p.lon, q.local AS point_index, q.parent_point AS parent_point_index
-FROM q JOIN p v ON v.sample = q.sample AND v.point = q.local JOIN p ON p.sample = q.sample AND p.point = q.parent_point"""
+q AS (SELECT id // 25 AS sample, id % 25 AS local, parent + id % 25 - first AS parent_point, value FROM (SELECT event_id AS id, CASE WHEN isnan(value::FLOAT) THEN NULL ELSE value::FLOAT END AS value FROM events, n WHERE event_id < ny * 100) JOIN s ON id % 25 >= first AND id % 25 < first + n),
+w AS (SELECT point, lat, CASE WHEN (point - first) * step >= 180 THEN (point - first) * step - 360 ELSE (point - first) * step END::DOUBLE AS lon FROM (SELECT unnest(range(100)) AS point) JOIN r ON point >= first AND point < first + n)
+SELECT q.value, w.lat, w.lon, q.local AS point_index, q.parent_point AS parent_point_index FROM q JOIN w ON w.point = q.parent_point"""
 )
 def a11_gaussian_subset(spark, sf_dir):
     """A subset: local points in the order of its segments, with their places in the whole grid."""
@@ -354,31 +362,6 @@ def t5_chunk_lattice(spark, sf_dir):
     return lattice(table(spark, sf_dir, "events"), "ts", lay, w).select("event_id", "chunk", "slot")
 
 
-@register(
-    """WITH c AS (SELECT event_id // 240 AS chunk, event_id // 4 % 60 AS point, event_id % 4 AS slot, value::FLOAT AS value FROM events WHERE event_id < 720)
-SELECT value, 10.0::DOUBLE + point // 10 AS lat, 100.0::DOUBLE + point % 10 AS lon, TIMESTAMP '1970-01-01' + INTERVAL '1 hour' * (chunk * 4 + slot)::INT AS valid_time
-FROM c WHERE chunk * 4 + slot BETWEEN 3 AND 9"""
-)
-def s3_read_series(spark, sf_dir):
-    """Three chunk objects of [1, 60, 4] cells, read over a window that cuts the first and the last."""
-    root = scratch(spark, "series")
-    events = table(spark, sf_dir, "events")
-    for n in range(3):
-        cells = events.where(F.col("event_id").between(240 * n, 240 * n + 239)).select((F.col("event_id") - 240 * n).alias("logical_index"), "value")
-        write_cells(cells, f"{root}/{series_plans.key(n)}", (1, 60, 4), (1, 20, 4), ["value"])
-    return read_series(
-        spark,
-        root,
-        model="ecmwf_ifs",
-        chunk_time_length=4,
-        dimensions=["lead", "point", "time"],
-        grid={"nx": 10, "ny": 6, "lat0": 10.0, "lon0": 100.0, "dlat": 1.0, "dlon": 1.0, "order": "lon_fastest"},
-        spatial_axes=["point"],
-        start=dt.datetime(1970, 1, 1, 3),
-        end=dt.datetime(1970, 1, 1, 9),
-    )
-
-
 @register(
     """WITH n AS (SELECT (max(event_id) + 120) // 120 AS ny FROM events),
 i AS (SELECT unnest(range(ny * 120)) AS id, ny FROM n),
@@ -386,16 +369,21 @@ c AS (SELECT id // (ny * 40) AS chunk, id // 4 % (ny * 10) AS point, id % 4 AS s
 SELECT CASE WHEN isnan(value) THEN NULL ELSE value END AS value, 10.0::DOUBLE + (point // 10)::DOUBLE * (60.0::DOUBLE / ny) AS lat, 100.0::DOUBLE + point % 10 AS lon, TIMESTAMP '1970-01-01' + INTERVAL '1 hour' * (chunk * 4 + slot)::INT AS valid_time
 FROM c"""
 )
-def s3_read_series_whole(spark, sf_dir):
+def s3_read_series(spark, sf_dir):
     """All events in three chunk objects of [1, 10 ny, 4] cells, read over their whole window. The cells after the last
     event are null."""
+    return _series(spark, sf_dir, (0, 1, 2), dt.datetime(1970, 1, 1), dt.datetime(1970, 1, 1, 11))
+
+
+def _series(spark, sf_dir, numbers: tuple[int, ...], start: dt.datetime, end: dt.datetime, **more) -> DataFrame:
+    """All events in objects of these numbers, and a window over them. The cells after the last event are null."""
     root = scratch(spark, "series")
     ny = (table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] + 120) // 120
     size = ny * 40
     cells = spark.range(3 * size).join(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "value"), "id", "left")
-    for n in range(3):
-        part = cells.where(F.col("id").between(size * n, size * n + size - 1)).select((F.col("id") - size * n).alias("logical_index"), "value")
-        write_cells(part, f"{root}/{series_plans.key(n)}", (1, ny * 10, 4), (1, 20, 4), ["value"])
+    for i, n in enumerate(numbers):
+        part = cells.where(F.col("id").between(size * i, size * i + size - 1)).select((F.col("id") - size * i).alias("logical_index"), "value")
+        write_cells(part, f"{root}/{series_plans.key(n)}", (1, ny * 10, 4), (1, min(ny * 10, 16384), 4), ["value"])
     return read_series(
         spark,
         root,
@@ -404,11 +392,27 @@ def s3_read_series_whole(spark, sf_dir):
         dimensions=["lead", "point", "time"],
         grid={"nx": 10, "ny": ny, "lat0": 10.0, "lon0": 100.0, "dlat": 60.0 / ny, "dlon": 1.0, "order": "lon_fastest"},
         spatial_axes=["point"],
-        start=dt.datetime(1970, 1, 1),
-        end=dt.datetime(1970, 1, 1, 11),
+        start=start,
+        end=end,
+        **more,
     )
 
 
+#: All events in objects 0, 1 and 3 of a series: the window cuts the first and the last, and number 2 is absent.
+GAP = """
+WITH n AS (SELECT (max(event_id) + 120) // 120 AS ny FROM events),
+i AS (SELECT unnest(range(ny * 120)) AS id, ny FROM n),
+c AS (SELECT CASE id // (ny * 40) WHEN 2 THEN 3 ELSE id // (ny * 40) END AS chunk, id // 4 % (ny * 10) AS point, id % 4 AS slot, ny, value::FLOAT AS value FROM i LEFT JOIN events ON event_id = id),
+f AS (SELECT CASE WHEN isnan(value) THEN NULL ELSE value END AS value, 10.0::DOUBLE + (point // 10)::DOUBLE * (60.0::DOUBLE / ny) AS lat, 100.0::DOUBLE + point % 10 AS lon, chunk * 4 + slot AS h FROM c)
+"""
+
+
+@register(GAP + "SELECT value, lat, lon, TIMESTAMP '1970-01-01' + INTERVAL '1 hour' * h::INT AS valid_time FROM f WHERE h BETWEEN 3 AND 13 AND lat >= 20")
+def t9_absent_object(spark, sf_dir):
+    """A window over an absent object: the others' slots inside the window."""
+    return _series(spark, sf_dir, (0, 1, 3), dt.datetime(1970, 1, 1, 3), dt.datetime(1970, 1, 1, 13), where="lat >= 20")
+
+
 @register("SELECT 'chunk_' || CASE WHEN i < 0 THEN '-' || lpad((-i)::VARCHAR, 3, '0') ELSE lpad(i::VARCHAR, 4, '0') END || '.om' AS key FROM range(-2, 6) t(i)")
 def t7_object_keys(spark, sf_dir):
     lay = series_plans.layout("dwd_icon", 4, None)
@@ -546,6 +550,259 @@ def j1_points_by_tile(spark, sf_dir):
     return join_points(points, [r for r in parse_regions(REGIONS) if r.id in ("hole", "two")]).groupBy("region_id").agg(F.count("*").alias("n"))
 
 
+# ---- regions over other axes, nested leaves, statuses ---------------------------------------------------------------
+
+#: The events as steps of a grid of 10 rows: id, t, lat, lon, value; the steps that the table fills.
+STEPS = """
+WITH n AS (SELECT (max(event_id) + 1000) // 1000 AS nt FROM events),
+g AS (SELECT event_id AS id, event_id // 1000 AS t, event_id % 1000 AS point, CASE WHEN isnan(value::FLOAT) THEN NULL ELSE value::FLOAT END AS value, -22.5::DOUBLE + (event_id % 1000 // 100)::DOUBLE * 5 AS lat,
+        CASE WHEN 120.0 + event_id % 100 >= 180 THEN event_id % 100 - 240.0 ELSE 120.0 + event_id % 100 END::DOUBLE AS lon FROM events, n WHERE event_id < nt * 1000)
+"""
+STEP_GRID = {"nx": NX, "ny": 10, "lat0": -22.5, "lon0": 120.0, "dlat": 5.0, "dlon": 1.0, "order": "separate"}
+
+
+def _steps(spark, sf_dir, values=None, times=None) -> TableCube:
+    nt = (table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] + 1000) // 1000
+    df = table(spark, sf_dir, "events").where(F.col("event_id") < nt * 1000)
+    return TableCube(df, F.col("event_id"), values or {"value": F.col("value")}, (nt, 10, NX), ("time", "lat", "lon"), times=times and tuple(times(i) for i in range(nt)), identity="events-steps")
+
+
+TIME = {"time": {"axis": "time", "start": dt.datetime(2026, 1, 1), "step": dt.timedelta(hours=6)}}
+AT = "TIMESTAMP '2026-01-01 00:00:00' + INTERVAL '1 hour' * (6 * t)::INT"
+
+
+@register(COVERED.replace(G, STEPS) + f"SELECT value, lat, lon, {AT} AS valid_time, region_id FROM m JOIN g USING (id) WHERE t >= 2")
+def j3_regions_by_time(spark, sf_dir):
+    """Covered cells of every step in a time window."""
+    return read_regions(spark, _steps(spark, sf_dir), regions=REGIONS, grid=STEP_GRID, spatial_axes=["lat", "lon"], axes=TIME, where="valid_time >= TIMESTAMP_NTZ '2026-01-01 12:00:00'")
+
+
+#: The nearest point of each target in the grid of 10 rows, and whether the grid holds the target.
+NEAR_STEPS = NEAREST.replace(G, STEPS).replace("FROM g CROSS JOIN r WHERE", "FROM g CROSS JOIN r WHERE t = 0 AND")
+
+
+@register(
+    NEAR_STEPS
+    + f"""SELECT region_id, g.value, {AT.replace("(6 * t)", "(6 * s.t)")} AS valid_time, CASE WHEN g.value IS NULL THEN 'source_null' ELSE 'ok' END AS status, [s.t] AS axis_indices, best.i AS point
+FROM b CROSS JOIN (SELECT unnest(range(nt)) AS t FROM n) s LEFT JOIN g ON g.point = best.i AND g.t = s.t
+UNION ALL SELECT 'far', NULL, TIMESTAMP '2026-01-01 00:00:00' + INTERVAL '1 hour' * (6 * s)::INT, 'outside_domain', [s], NULL FROM n, unnest(range(nt)) u(s)
+UNION ALL SELECT 'none', NULL, TIMESTAMP '2026-01-01 00:00:00' + INTERVAL '1 hour' * (6 * s)::INT, 'empty_geometry', [s], NULL FROM n, unnest(range(nt)) u(s)"""
+)
+def j3_nearest_by_time(spark, sf_dir):
+    """One row for each target and step, with the map of statuses by variable."""
+    out = read_regions(spark, _steps(spark, sf_dir), regions=TARGETS, method="nearest", grid=STEP_GRID, spatial_axes=["lat", "lon"], axes=TIME)
+    return out.select("region_id", "value", "valid_time", F.col("sampling.variables")["value"]["status"].alias("status"), "sampling.axis_indices", F.col("sampling.source_point_index").alias("point"))
+
+
+@register(
+    NEAR_STEPS.replace("CASE WHEN isnan(value::FLOAT) THEN NULL ELSE value::FLOAT END AS value", "CASE WHEN event_id % 2 = 1 AND NOT isnan(value::FLOAT) THEN value::FLOAT END AS value")
+    + """SELECT region_id, s.t, g.value, CASE WHEN g.value IS NULL THEN 'source_null' ELSE 'ok' END AS status, 1::BIGINT AS source_count, count(g.value) OVER (PARTITION BY region_id, s.t) AS valid_source_count
+FROM b CROSS JOIN (SELECT unnest(range(nt)) AS t FROM n) s LEFT JOIN g ON g.point = best.i AND g.t = s.t"""
+)
+def r14_source_null(spark, sf_dir):
+    """Statuses where the source has no value."""
+    c = _steps(spark, sf_dir, {"value": F.when(F.col("event_id") % 2 == 1, F.col("value"))})
+    out = read_regions(spark, c, regions=TARGETS[:3], method="nearest", grid=STEP_GRID, spatial_axes=["lat", "lon"])
+    v = F.col("sampling.variables")["value"]
+    return out.select("region_id", F.col("sampling.axis_indices")[0].alias("t"), "value", v["status"].alias("status"), v["source_count"].alias("source_count"), v["valid_source_count"].alias("valid_source_count"))
+
+
+@register(COVERED + "SELECT region_id, y, x, count(*) AS n FROM m JOIN g USING (id) GROUP BY region_id, y, x")
+def p5_nested_leaf(spark, sf_dir):
+    """One leaf of the source struct of covered cells; the values are not read."""
+    at = F.col("om_source.axis_indices")
+    return _regions(spark, sf_dir, include_source=True).groupBy("region_id", at[0].alias("y"), at[1].alias("x")).agg(F.count("*").alias("n"))
+
+
+@register(
+    NEAREST
+    + """SELECT region_id, value, 'ok' AS status, id AS point, round(dist, 3) AS distance_m FROM b JOIN k USING (region_id) WHERE k.id = best.i AND ty > 0
+UNION ALL SELECT 'far', NULL, 'outside_domain', NULL, NULL"""
+)
+def f15_nearest_filters_targets(spark, sf_dir):
+    """lat of a nearest row is the target's: a condition on it picks targets and prunes no cells."""
+    return _nearest(spark, sf_dir, where="lat > 0")
+
+
+@register(STEPS + "SELECT value, lat, lon, TIMESTAMP '1970-01-01' + INTERVAL '1 hour' * (3 * t)::INT AS valid_time FROM g")
+def a3_embedded_time(spark, sf_dir):
+    """Times that the metadata hold."""
+    return read_array(spark, _steps(spark, sf_dir, times=lambda i: 10800 * i), grid=STEP_GRID, spatial_axes=["lat", "lon"])
+
+
+@register(
+    G
+    + """SELECT value, -40.0::DOUBLE + (id % ny)::DOUBLE * (80.0::DOUBLE / ny) AS lat, CASE WHEN 120.0 + id // ny >= 180 THEN 120.0 + id // ny - 360 ELSE 120.0 + id // ny END::DOUBLE AS lon, id % ny AS y, id // ny AS x FROM i"""
+)
+def a13_layout_binding(spark, sf_dir):
+    """Spatial axes in another order than the array's."""
+    ny = _rows(spark, sf_dir)
+    out = read_array(spark, cube(spark, sf_dir, ("lon", "lat"), (NX, ny)), grid=grid(ny), spatial_axes=["lat", "lon"], include_source=True)
+    return out.select("value", "lat", "lon", F.col("om_source.axis_indices")[1].alias("y"), F.col("om_source.axis_indices")[0].alias("x"))
+
+
+@register(G + "SELECT kind, count(*) AS n, 0::BIGINT AS beyond FROM g CROSS JOIN (VALUES ('lambert_conformal_conic'), ('rotated_latlon'), ('stereographic')) k(kind) GROUP BY kind")
+def a7_a9_single_precision(spark, sf_dir):
+    """Cells of the projected grids in single precision, and how many lie over 0.001 degrees from those in double precision."""
+    ny = _rows(spark, sf_dir)
+    kinds = {
+        RotatedGrid: {"x0": -30.0, "y0": -20.0, "dx": 0.5, "dy": 0.02, "north_pole_latitude": 39.25, "north_pole_longitude": -162.0, "rotation": 10.0},
+        LambertGrid: {"x0": -500000.0, "y0": -400000.0, "dx": 10000.0, "dy": 800.0, "central_meridian": 10.0, "latitude_of_origin": 50.0, "standard_parallel_1": 40.0, "standard_parallel_2": 60.0},
+        StereographicGrid: {"x0": -500050.0, "y0": -400050.0, "dx": 10000.0, "dy": 800.0, "central_meridian": 20.0, "latitude_of_origin": 70.0, "scale_factor": 0.9},
+    }
+
+    def coordinates(kind, policy: str, more: dict) -> DataFrame:
+        b = bind(spark, cube(spark, sf_dir), grid=kind(NX, ny, policy=policy, **more), spatial_axes=["lat", "lon"], include_source=True)
+        return project(b, b.source.cells(b.meta)).select(F.lit(kind.kind).alias("kind"), F.col("om_source.logical_index").alias("id"), "lat", "lon")
+
+    out = None
+    for kind, more in kinds.items():
+        single, double = coordinates(kind, FLOAT32, more), coordinates(kind, FLOAT64, more).select("id", F.col("lat").alias("lat64"), F.col("lon").alias("lon64"))
+        far = (F.abs(F.col("lat") - F.col("lat64")) > 1e-3) | (F.abs(F.col("lon") - F.col("lon64")) > 1e-3)
+        own = single.join(double, "id").groupBy("kind").agg(F.count("*").alias("n"), F.count_if(far).alias("beyond"))
+        out = own if out is None else out.unionAll(own)
+    return out
+
+
+# ---- rules: what a declaration made from a row of a table is answered with ------------------------------------------
+
+
+def _outcomes(spark, sf_dir, answer: Callable[[int, str], str]) -> DataFrame:
+    """(n_nationkey, outcome) for each of the 25 nations, whose key and name a declaration is made from."""
+
+    def of(key: int, name: str) -> str:
+        try:
+            return answer(key, name)
+        except (BindError, SourceError) as error:
+            return error.category
+
+    rows = [(r["n_nationkey"], of(r["n_nationkey"], r["n_name"])) for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect()]
+    return spark.createDataFrame(rows, "n_nationkey int, outcome string")
+
+
+@register(
+    """SELECT n_nationkey::INT AS n_nationkey, CASE n_nationkey % 8 WHEN 0 THEN 'ok 1 ' || n_name WHEN 1 THEN 'region_input' WHEN 2 THEN 'region_input' WHEN 3 THEN 'region_input' WHEN 4 THEN 'region_input'
+WHEN 5 THEN 'region_reference' WHEN 6 THEN 'region_input_limit' ELSE 'ok 0 ' || n_name END AS outcome FROM nation"""
+)
+def r2_r6_region_rules(spark, sf_dir):
+    """Coordinates, caps, ids, reference and validity of regions."""
+
+    def answer(key: int, name: str) -> str:
+        x, y = -170.0 + 10 * key, -60.0 + 4 * key
+        box = _box(x, y, x + 5, y + 5)
+        shape = {2: [[(x, y), (x + 5, y + 5), (x + 5, y), (x, y + 5), (x, y)]], 3: [_box(x, 85.0, x + 5, 91.0)], 4: [box[:3]], 7: None}.get(key % 8, [box])
+        one = {"id": name, "wkb": polygon_wkb(shape) if shape else polygon_wkb()}
+        many = {1: [one, one], 6: [one] * 5000}.get(key % 8, [one])
+        (got,) = parse_regions(many, "epsg_4326" if key % 8 == 5 else "grid_lonlat")
+        return f"ok {len(got.polygons)} {got.id}"
+
+    return _outcomes(spark, sf_dir, answer)
+
+
+@register(
+    """SELECT n_nationkey::INT AS n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'ok ' || (n_nationkey + 2) || ' x 3' ELSE 'grid' END AS outcome FROM nation"""
+)
+def a14_grid_rules(spark, sf_dir):
+    """Fields, numbers and orders of grid declarations."""
+
+    def answer(key: int, name: str) -> str:
+        spec = {"nx": key + 2, "ny": 3, "lat0": -1.0, "lon0": float(key), "dlat": 1.0, "dlon": 1.0, "order": "separate"}
+        change = {1: {"nx": 0}, 2: {"order": name}, 3: {"dlat": float("nan")}, 4: {name: 1}}.get(key % 5, {})
+        g = parse_grid(spec | change)
+        g.validate()
+        return f"ok {g.nx} x {g.ny}"
+
+    return _outcomes(spark, sf_dir, answer)
+
+
+@register("SELECT n_nationkey::INT AS n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'crs' WHEN 2 THEN 'ok' ELSE 'crs' END AS outcome FROM nation")
+def a16_bounding_boxes(spark, sf_dir):
+    """The box of a reference system must be the grid's to a thousandth of a degree."""
+
+    def answer(key: int, name: str) -> str:
+        g = parse_grid({"nx": 5, "ny": 3, "lat0": float(key), "lon0": 10.0, "dlat": 1.0, "dlon": 2.0, "order": "separate"})
+        lat = {0: f"{key}", 1: f"{key + 0.002}", 2: f"{key + 0.0005}", 3: name}[key % 4]
+        domains.check_bbox(f'GEOGCRS["{name}",USAGE[SCOPE["any"],BBOX[{lat},10,{key + 2},18]]]', g)
+        return "ok"
+
+    return _outcomes(spark, sf_dir, answer)
+
+
+@register("SELECT n_nationkey::INT AS n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'gaussian_wgs84 ' || (n_nationkey + 1) WHEN 1 THEN 'unknown' ELSE 'none' END AS outcome FROM nation")
+def a17_reference_profiles(spark, sf_dir):
+    """The reference system of a reduced Gaussian grid, another one, and none."""
+
+    def answer(key: int, name: str) -> str:
+        text = (
+            'GEOGCRS["Reduced Gaussian Grid",DATUM["World Geodetic System 1984",ELLIPSOID["WGS 84",6378137,298.257223563]],CS[ellipsoidal,2],'
+            f'AXIS["latitude",north],AXIS["longitude",east],ANGLEUNIT["degree",0.0174532925199433],REMARK["Reduced Gaussian Grid O{key + 1} (ECMWF)"]]'
+        )
+        kind, order = domains.gaussian_profile({0: text, 1: text.replace("Reduced Gaussian Grid", name, 1), 2: None}[key % 3])
+        return f"{kind} {order}" if order else kind
+
+    return _outcomes(spark, sf_dir, answer)
+
+
+@register("SELECT n_nationkey::INT AS n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'same grid, other layout' WHEN 1 THEN 'other grid, other object' ELSE 'other grid, same layout' END AS outcome FROM nation")
+def a18_a19_identities(spark, sf_dir):
+    """Storage orders share a grid's id, other steps don't; layouts and objects have ids of their own."""
+
+    def answer(key: int, name: str) -> str:
+        spec = {"nx": 4, "ny": 3, "lat0": float(key), "lon0": 10.0, "dlat": 1.0, "dlon": 2.0, "order": "lon_fastest"}
+        a, b = parse_grid(spec), parse_grid(spec | ({"order": "lat_fastest"} if key % 3 == 0 else {"dlat": 1.5}))
+        grid_ = "same grid" if identity.grid_id(a) == identity.grid_id(b) else "other grid"
+        layout = "same layout" if identity.layout_id(a, (0,), (12,)) == identity.layout_id(b, (0,), (12,)) else "other layout"
+        object_ = "same object" if identity.object_id(name) == identity.object_id(name.lower()) else "other object"
+        return f"{grid_}, {object_ if key % 3 == 1 else layout}"
+
+    return _outcomes(spark, sf_dir, answer)
+
+
+@register("SELECT n_nationkey::INT AS n_nationkey, CASE n_nationkey % 6 WHEN 0 THEN 'ok' WHEN 1 THEN 'ok' ELSE 'series' END AS outcome FROM nation")
+def t8_prefix_rules(spark, sf_dir):
+    """Directories that may hold a series."""
+
+    def answer(key: int, name: str) -> str:
+        series_plans.prefix({0: f"/data/{name}", 1: f"s3://bucket/{name}/", 2: f"/data/{name}/*", 3: f"/data/{name}//", 4: f"/data/{name}.om", 5: f"/data/data_run/{name}"}[key % 6].replace(" ", "_"))
+        return "ok"
+
+    return _outcomes(spark, sf_dir, answer)
+
+
+@register("SELECT n_nationkey::INT AS n_nationkey, CASE WHEN n_nationkey * 4 - 48 BETWEEN -22.5 AND 22.5 THEN 'ok' ELSE 'region_sampling' END AS outcome FROM nation")
+def r16_out_of_bounds_error(spark, sf_dir):
+    """A target outside the grid is an error where the caller asks for one."""
+    c = _steps(spark, sf_dir)
+
+    def answer(key: int, name: str) -> str:
+        y = key * 4.0 - 48
+        read_regions(spark, c, regions=[{"id": name, "wkb": polygon_wkb([_box(150.0, y - 0.5, 151.0, y + 0.5)])}], method="nearest", out_of_bounds="error", grid=STEP_GRID, spatial_axes=["lat", "lon"])
+        return "ok"
+
+    return _outcomes(spark, sf_dir, answer)
+
+
+# ---- streams -------------------------------------------------------------------------------------------------------
+
+
+@register(
+    """WITH s AS (SELECT epoch_us(ts) // 3600000000 - CASE WHEN epoch_us(ts) % 3600000000 < 0 THEN 1 ELSE 0 END AS h FROM events)
+SELECT floor(h / 6.0)::BIGINT AS chunk, (h - floor(h / 6.0)::BIGINT * 6)::BIGINT AS slot, count(*) AS n FROM s GROUP BY 1, 2"""
+)
+def streaming_arrivals(spark, sf_dir):
+    """All events as a stream, counted by object and slot; the finished table of the stream."""
+    events = table(spark, sf_dir, "events")
+    root = scratch(spark, "stream")
+    events.select("ts").write.parquet(f"{root}/in")
+    counted = arriving(spark.readStream.schema("ts timestamp_ntz" if dict(events.dtypes)["ts"] == "timestamp_ntz" else "ts timestamp").parquet(f"{root}/in"), "ts", series_plans.layout(None, 6, dt.timedelta(hours=1)))
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.select("chunk", "slot", "n").write.mode("overwrite").parquet(f"{root}/out")
+
+    counted.writeStream.outputMode("complete").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return spark.read.schema("chunk long, slot long, n long").parquet(f"{root}/out")
+
+
 # ---- descriptors ---------------------------------------------------------------------------------------------------
 
 
@@ -630,9 +887,11 @@ def u3_intersect(spark, sf_dir):
     return scan(spark, sf_dir, "lat > 0").select("lat", "lon").intersect(scan(spark, sf_dir, "lon > 0").select("lat", "lon"))
 
 
-@register(G + "SELECT value, lat, lon FROM g WHERE 1 = 0")
+@register(COUNTED.format("lat > 91").replace("AS n, count(*) AS total", "AS n, count(*) AS total, 'float,double,double' AS types"))
 def e1_typed_empty(spark, sf_dir):
-    return scan(spark, sf_dir, "lat > 91")
+    """No rows, with the columns and types of a scan that has some."""
+    none = scan(spark, sf_dir, "lat > 91")
+    return none.unionAll(scan(spark, sf_dir)).agg(F.count_if(F.col("lat") > 91).alias("n"), F.count("*").alias("total"), F.lit(",".join(t for _, t in none.dtypes)).alias("types"))
 
 
 @register(
@@ -647,6 +906,29 @@ def j4_join_dimensions(spark, sf_dir):
     return joined.groupBy("r_name").agg(F.count("*").alias("n"), F.round(F.avg(F.col("value").cast("double")), 6).alias("mean"))
 
 
+@register(G + f"SELECT b AS band, h AS half, count(*) AS n, round(sum(value::DOUBLE), 3) AS total FROM (SELECT floor(lat / 20)::BIGINT AS b, lon >= 0 AS h, value FROM g) GROUP BY CUBE (b, h) HAVING count(*) > 10")
+def g7_cube_having(spark, sf_dir):
+    cells = scan(spark, sf_dir).select(F.floor(F.col("lat") / 20).cast("long").alias("band"), (F.col("lon") >= 0).alias("half"), "value")
+    return cells.cube("band", "half").agg(F.count("*").alias("n"), F.round(F.sum(F.col("value").cast("double")), 3).alias("total")).where("n > 10")
+
+
+@register(G + f"SELECT {BAND}, round(quantile_cont(value::DOUBLE, 0.5), 5) AS median, round(quantile_cont(value::DOUBLE, 0.9), 5) AS p90, round(stddev_samp(value::DOUBLE), 5) AS spread FROM g GROUP BY 1")
+def g2_quantiles(spark, sf_dir):
+    v = F.col("value").cast("double")
+    return scan(spark, sf_dir).groupBy(_band()).agg(F.round(F.percentile(v, 0.5), 5).alias("median"), F.round(F.percentile(v, 0.9), 5).alias("p90"), F.round(F.stddev_samp(v), 5).alias("spread"))
+
+
+@register(
+    FIVE.replace("SELECT value, valid_time, level, lead_us::BIGINT AS lead_us, member::BIGINT AS member FROM f", "")
+    + """SELECT date_trunc('day', valid_time)::TIMESTAMP AS day, extract(hour FROM valid_time)::INT AS hour, upper('hpa') || ' ' || level::INT AS label, strftime(valid_time, '%Y-%m') AS month, count(*) AS n FROM f GROUP BY ALL"""
+)
+def scalar_dates_and_text(spark, sf_dir):
+    """Date and text functions over semantic columns."""
+    at = F.col("valid_time")
+    day = F.date_trunc("day", at).cast("timestamp_ntz").alias("day")
+    return _five(spark, sf_dir).groupBy(day, F.hour(at).alias("hour"), F.concat(F.upper(F.lit("hpa")), F.lit(" "), F.col("level").cast("int").cast("string")).alias("label"), F.date_format(at, "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
+
+
 @register(G + "SELECT count(*) FILTER (WHERE isinf(value)) AS infinite, count(*) FILTER (WHERE value IS NULL) AS missing, count(*) FILTER (WHERE signbit(value)) AS negative, round(max(abs(value::DOUBLE)), 6) AS largest FROM g")
 def scalar_functions(spark, sf_dir):
     v = F.col("value").cast("double")

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 import gridloom as g
 from gridloom.errors import BindError
-from gridloom.functions.geometry import check_valid, covers, haversine, interior_point, parse_wkb, polygon_wkb
+from gridloom.functions.geometry import check_valid, covers, haversine, interior_point, parse_regions, parse_wkb, polygon_wkb
 from gridloom.functions.grids import parse_grid
-from gridloom.operators.regions import locate
+from gridloom.operators.regions import join_points, locate
 
 
 def box(x1, y1, x2, y2):
@@ -166,3 +166,42 @@ def test_status_alone_reads_no_values(spark, sampling):
     assert "temperature" in read(df.select("sampling.variables")) and "humidity" in read(df.select("sampling"))
     one = g.read_regions(spark, sampling, regions=TARGETS, variable="s/temperature", **NEAREST)
     assert "humidity" not in read(one.select("sampling"))
+
+
+def test_large_regions_are_sent_once(spark):
+    """A polygon of many vertices over many tiles: the tiles carry envelopes, and the polygon is joined by region."""
+    import math
+
+    ring = [(60 * math.cos(2 * math.pi * i / 20_000), 40 * math.sin(2 * math.pi * i / 20_000)) for i in range(20_000)]
+    (region,) = parse_regions([{"id": "oval", "wkb": polygon_wkb([[*ring, ring[0]]])}])
+    points = spark.range(400).selectExpr("id", "CAST(id % 20 * 9 - 85.5 AS DOUBLE) AS lon", "CAST(id DIV 20 * 7 - 66.5 AS DOUBLE) AS lat")
+    out = join_points(points, [region])
+    want = [i for i in range(400) if ((i % 20 * 9 - 85.5) / 60) ** 2 + ((i // 20 * 7 - 66.5) / 40) ** 2 < 1]
+    assert sorted(r["id"] for r in out.collect()) == want
+    tiles = [n for n in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "_tx" in n and "polygons" in n]
+    assert not tiles
+
+
+def test_ranges_around_boxes():
+    """All cells in any box lie in the ranges, on every kind of grid."""
+    import numpy as np
+
+    from gridloom.functions.grids import FLOAT32, RotatedGrid
+    from gridloom.plans import domains
+    from gridloom.plans.select import around, meet
+
+    boxes = [(-20.0, 30.0, -5.0, 45.0), (100.0, -10.0, 140.0, 0.0)]
+    flat, square = domains.domain("n160"), RotatedGrid(60, 40, policy=FLOAT32, x0=-30.0, y0=-20.0, dx=1.0, dy=1.0, north_pole_latitude=39.25, north_pole_longitude=-162.0, rotation=10.0)
+    for grid, spatial in ((flat, (0,)), (square, (0, 1)), (domains.domain("cams_global"), (0, 1))):
+        x, y = grid.xy_of(np.arange(grid.points if spatial == (0,) else grid.nx * grid.ny))
+        lat, lon = grid.coordinates_of(x, y)
+        inside, middle = np.zeros(len(lat), bool), len(lat) // 2 + grid.nx // 3
+        own = [*boxes, (lon[middle] - 2, lat[middle] - 3, lon[middle] + 2, lat[middle] + 3)]
+        for a, b, c, d in own:
+            inside |= (lon >= a) & (lon <= c) & (lat >= b) & (lat <= d)
+        got = around(grid, spatial, own)
+        keep = np.ones(len(lat), bool)
+        for axis, at in zip(spatial, (np.arange(len(lat)),) if spatial == (0,) else (y, x), strict=True):
+            keep &= np.isin(at, [i for p, q in got[axis] for i in range(p, q + 1)])
+        assert inside.any() and (keep | ~inside).all() and keep.mean() < 0.8
+    assert meet([(0, 5), (8, 9)], [(2, 8), (9, 20)]) == [(2, 5), (8, 8), (9, 9)]

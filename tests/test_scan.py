@@ -200,3 +200,42 @@ def test_settings_bound_tasks_and_notice_changes(spark, tmp_path):
     finally:
         settings.put(spark, "max_threads", 0)
         settings.put(spark, "revalidate_metadata", False)
+
+
+def test_index_ranges_reach_the_scan_of_a_table(spark, tmp_path):
+    """Whole row groups outside a range of latitudes are never read; a LIMIT stops a scan early."""
+    spark.range(200_000).selectExpr("id", "CAST(id % 97 AS FLOAT) AS v").coalesce(1).write.option("parquet.block.size", 1 << 17).parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    cube = g.TableCube(df, F.col("id"), {"value": F.col("v")}, (2000, 100), ("lat", "lon"))
+    options = {"grid": {"nx": 100, "ny": 2000, "lat0": 0.0, "lon0": 0.0, "dlat": 0.01, "dlon": 1.0, "order": "separate"}, "spatial_axes": ["lat", "lon"]}
+    some = g.read_array(spark, cube, where="lat BETWEEN 5 AND 5.095", **options)
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(id,50000)" in plan and "LessThanOrEqual(id,50999)" in plan
+    assert len(some.collect()) == some.count() == 1000
+    (read,) = g.finished_scan_metrics(some).collect()
+    assert read["status"] == "finished" and read["scan_complete"] and read["rows_read"] < 100_000 and read["bytes"] > 0
+    few = g.read_array(spark, cube, **options).limit(5)
+    assert g.finished_scan_metrics(few).first()["status"] == "planned"
+    assert len(few.collect()) == 5
+    (read,) = g.finished_scan_metrics(few).collect()
+    assert read["status"] == "finished" and not read["scan_complete"]
+
+
+def test_a_large_chunk_with_holes_and_repeats(spark, tmp_path):
+    n = 256 * 256
+    cells = spark.range(n).where("id % 5 <> 2").selectExpr("id AS logical_index", "CAST(id AS FLOAT) AS value", "CAST(-id AS FLOAT) AS other")
+    again = cells.where("logical_index < 100").selectExpr("logical_index", "value - 1 AS value", "other")
+    path = g.write_cells(cells.unionAll(again), f"{tmp_path}/cube", (256, 256), (256, 256), ["value", "other"], ("y", "x"))
+    got = g.read_array(spark, path).collect()
+    assert len(got) == n and sum(r["value"] is None for r in got) == len(range(2, n, 5))
+    assert all(r["other"] == -r["value"] for r in got if r["value"] is not None)
+
+
+def test_failures_by_class_not_by_message():
+    from gridloom.sources.paths import category_of
+
+    assert category_of([("java.io.FileNotFoundException", None)]) == "object_not_found"
+    assert category_of([("java.io.IOException", None), ("java.net.SocketTimeoutException", None)]) == "timeout"
+    assert category_of([("com.example.S3Exception", 403)]) == "access_denied"
+    assert category_of([("com.example.S3Exception", 500)]) == "http" and category_of([("com.example.S3Exception", 429)]) == "rate_limited"
+    assert category_of([("java.io.IOException", None)]) == "transport" == category_of([])
