@@ -2,9 +2,14 @@
 
 import duckdb
 import pytest
+from test_duplicates import brute, brute_dedup
+from test_models import brute as personal
+from test_models import plain_toxicity
+from test_tokens import WORDS, check_packed
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from gridloom.llm import minhash, stages, substring
+from gridloom.llm import minhash, packing, pii, stages, substring, toxicity
 from gridloom.llm.common import materialize
 from gridloom.llm.queries import ORACLE_SQL, QUERIES
 
@@ -33,6 +38,47 @@ def test_stages_one_by_one(spark):
     assert seen["packing"][1].agg({"length": "sum"}).first()[0] > 0
 
 
+def test_stages_against_brute_force(spark):
+    """Each stage's rows from plain versions of its operator, over whole tables."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    stages_ = dict(corpus_pipeline.STAGES)
+    rows = {r["doc_id"]: r for r in docs.collect()}
+
+    kept = materialize(stages_["toxicity"](spark, docs, SF), "brute-toxicity")
+    model = toxicity.fit(docs, labels)
+    sure = {i for i, r in rows.items() if abs(plain_toxicity(model, (r["text"] or "").encode()) - model.threshold(r["lang"])) > 1e-5}
+    want = {i for i, r in rows.items() if plain_toxicity(model, (r["text"] or "").encode()) < model.threshold(r["lang"])}
+    got = {r["doc_id"] for r in kept.collect()}
+    assert got & sure == want & sure and len(sure) >= len(rows) - 2 and len(got) < len(rows)
+
+    alone = materialize(stages_["near_dedup"](spark, kept, SF), "brute-near")
+    component = brute([(i, rows[i]["text"]) for i in got], 5)
+    assert {r["doc_id"] for r in alone.collect()} == {i for (i, _), c in component.items() if i == c}
+
+    less = materialize(stages_["substring_dedup"](spark, alone, SF), "brute-substring")
+    want = dict(brute_dedup([(r["doc_id"], r["text"]) for r in alone.collect()]))
+    texts = {r["doc_id"]: r["text"] for r in less.collect()}
+    assert texts == want
+
+    clean = materialize(stages_["pii"](spark, less, SF), "brute-pii")
+    fitted = pii.fit()
+    for r in clean.collect():
+        text = texts[r["doc_id"]]
+        base = personal(text)
+        every = pii.all_spans(text, base, fitted)
+        assert set(base) <= set(every) and r["text"] == pii.redact(text, every)
+        assert every or r["text"] == text
+
+    pieces = packing.pack(clean, WORDS, with_ids=True)
+    plain = Tokenizer.from_file(WORDS)
+    plain.encode_special_tokens = True
+    check_packed(pieces.collect(), [(r["doc_id"], r["text"]) for r in clean.collect()], plain)
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    last = stages_["packing"](spark, clean, SF)
+    assert sorted(map(tuple, last.select(columns).collect())) == sorted(map(tuple, pieces.select(columns).collect()))
+
+
 def test_stages_with_clashing_columns(spark, docs, none):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     for some in (docs, none):
