@@ -178,7 +178,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     reps = own.select("doc_id", "digest", "n", "sketch").dropDuplicates(["doc_id", "digest"])
     reps = materialize(reps, "near-representatives")
     several = member.where(valid).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
-    joined = member.where(valid).join(several, "doc_id").select("a", F.col("rep").alias("b")).where("a <> b").distinct()
+    joined = materialize(member.where(valid).join(several, "doc_id").select("a", F.col("rep").alias("b")).where("a <> b").distinct(), "near-joined", narrow=True)
 
     placed = reps.select("doc_id", F.posexplode(_bands(F.col("sketch"))).alias("band", "key"))
     crowded = placed.groupBy("key", "band").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1")
@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     component = F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
     out = materialize(out, "near-result")
-    for x in (member, reps, members, labels):
+    for x in (member, reps, members, labels, joined):
         discard(x)
     return out
 
