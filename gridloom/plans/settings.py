@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 from gridloom.errors import BindError
 
-#: name: (default, least, largest). Tasks already run in parallel, so the asynchronous ones only are checked.
+#: name: (default, least, largest). Tasks already run in parallel, so a number of batches to read ahead is checked only.
 NUMBERS = {
     "max_threads": (0, 0, 1 << 20),
     "remote_merge_gap": (4096, 0, 1 << 30),
@@ -16,6 +16,15 @@ NUMBERS = {
 }
 FLAGS = {"remote_merge": True, "async_io": True, "revalidate_metadata": False}
 
+#: Settings that Hadoop's vectored reads of Parquet follow: gaps up to which ranges are merged, the largest merged range,
+#: ranges in flight, and whether ranges are merged at all. They are set for the session's reads.
+HADOOP = {
+    "remote_merge_gap": "fs.s3a.vectored.read.min.seek.size",
+    "remote_max_request": "fs.s3a.vectored.read.max.merged.size",
+    "async_max_inflight": "fs.s3a.vectored.active.ranged.reads",
+    "remote_merge": "parquet.hadoop.vectored.io.enabled",
+}
+
 
 def put(spark: SparkSession, name: str, value: int | bool) -> None:
     """Sets a setting after checking it."""
@@ -28,6 +37,8 @@ def put(spark: SparkSession, name: str, value: int | bool) -> None:
     elif not isinstance(value, bool):
         raise BindError("setting", f"{name} must be true or false")
     spark.conf.set(f"gridloom.{name}", str(value).lower())
+    if name in HADOOP:
+        spark.conf.set(HADOOP[name], str(value).lower())
 
 
 def get(spark: SparkSession, name: str) -> int | bool:

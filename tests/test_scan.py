@@ -239,3 +239,18 @@ def test_failures_by_class_not_by_message():
     assert category_of([("com.example.S3Exception", 403)]) == "access_denied"
     assert category_of([("com.example.S3Exception", 500)]) == "http" and category_of([("com.example.S3Exception", 429)]) == "rate_limited"
     assert category_of([("java.io.IOException", None)]) == "transport" == category_of([])
+
+
+def test_range_settings_reach_hadoop(spark):
+    """What a session's Parquet reads take as their configuration holds the settings."""
+    try:
+        for name, value in (("remote_merge_gap", 1 << 16), ("remote_max_request", 1 << 20), ("async_max_inflight", 4), ("remote_merge", False)):
+            settings.put(spark, name, value)
+            conf = spark._jsparkSession.sessionState().newHadoopConf()
+            assert conf.get(settings.HADOOP[name]) == str(value).lower() and settings.get(spark, name) == value
+        with pytest.raises(BindError):
+            settings.put(spark, "remote_max_request", 1)
+    finally:
+        for name in settings.HADOOP:
+            spark.conf.unset(f"gridloom.{name}")
+            spark.conf.unset(settings.HADOOP[name])
