@@ -59,12 +59,14 @@ class Forest:
         longest = norms.max() or 1.0
         rows = np.column_stack([middle / longest, np.sqrt(np.maximum(0, 1 - (norms / longest) ** 2))])
         keys = self.strings(rows)
-        self.order = np.argsort(keys, axis=1, kind="stable").astype(np.int32)
-        self.keys = np.take_along_axis(keys, self.order, axis=1)
+        order = np.argsort(keys, axis=1, kind="stable")
+        self.keys = np.take_along_axis(keys, order, axis=1)
+        self.order = order.astype(np.uint16 if self.n <= 1 << 16 else np.uint32)
 
     def strings(self, rows: np.ndarray) -> np.ndarray:
         """(trees, rows) strings of digits as numbers, first digit highest."""
-        out = np.zeros((self.trees, len(rows)), np.uint64)
+        kind = np.uint32 if self.bits <= 32 else np.uint64
+        out = np.zeros((self.trees, len(rows)), kind)
         rows = rows.astype(np.float32)
         d = rows.shape[1]
         rng = np.random.default_rng(self.seed)
@@ -81,8 +83,8 @@ class Forest:
                 p = (rows[at : at + step] @ own).reshape(-1, self.trees, k)
                 high, low = p.argmax(2), p.argmin(2)
                 up = np.take_along_axis(p, high[:, :, None], 2) >= -np.take_along_axis(p, low[:, :, None], 2)
-                digit = np.where(up[:, :, 0], 2 * high, 2 * low + 1).astype(np.uint64)
-                out[:, at : at + step] = (out[:, at : at + step] << np.uint64(_bits(k))) | digit.T
+                digit = np.where(up[:, :, 0], 2 * high, 2 * low + 1).astype(kind)
+                out[:, at : at + step] = (out[:, at : at + step] << kind(_bits(k))) | digit.T
         return out
 
     def nodes(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,9 +93,9 @@ class Forest:
         low = np.zeros((len(self.levels), *keys.shape), np.int32)
         high = np.full(low.shape, self.n, np.int32)
         for i, bits in enumerate(self.levels[1:], 1):
-            shift = np.uint64(self.bits - bits)
+            shift = keys.dtype.type(self.bits - bits)
             a = (keys >> shift) << shift
-            b = a | ((np.uint64(1) << shift) - np.uint64(1))
+            b = a | keys.dtype.type((1 << int(shift)) - 1)
             for t in range(self.trees):
                 low[i, t] = np.searchsorted(self.keys[t], a[t])
                 high[i, t] = np.searchsorted(self.keys[t], b[t], "right")
@@ -211,6 +213,7 @@ def build(rows: DataFrame, folder: str, k: int) -> DataFrame:
     shorter = F.floor(F.log(F.lit(longest) / F.col("length")) / math.log(RATIO))
     entries_ = entries.withColumn("range", F.greatest(F.lit(0), F.least(F.lit(RANGES - 1), shorter)).cast("int"))
     sizes = entries_.groupBy("dim", "range").agg(F.count("*").alias("range_size"))
+    total = int(sizes.agg(F.sum(F.ceil(F.col("range_size") / BLOCK))).first()[0] or 1)
     dealt = entries_.join(sizes, ["dim", "range"])
     dealt = dealt.withColumn("block", F.pmod("h1", F.ceil(F.col("range_size") / BLOCK)).cast("int")).select("dim", "range", "range_size", "block", "ids", "v")
 
@@ -226,6 +229,7 @@ def build(rows: DataFrame, folder: str, k: int) -> DataFrame:
 
     make_folder(session_of(rows), folder)
     short_batches(session_of(rows))
+    dealt = dealt.repartition(total, "dim", "range", "block")
     made = materialize(dealt.groupBy("dim", "range", "block").applyInArrow(run, "dim int, range_size long, file string"), "ann-blocks")
     discard(entries)
     return made
@@ -255,7 +259,8 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, vector: str = "embeddi
     groups_ = materialize(asked.groupBy("dim", "group").applyInArrow(write_group, "dim int, queries string"), "ann-queries")
     # runs of blocks by the groups of queries of the same dimension: file names only
     number = F.row_number().over(Window.partitionBy("dim").orderBy("file"))
-    runs = blocks.withColumn("run", F.floor(number / RUN)).groupBy("dim", "run").agg(F.collect_list(F.struct("file", "range_size")).alias("blocks"))
+    length = max(1, min(RUN, blocks.count() * groups // (2 * spark.sparkContext.defaultParallelism)))
+    runs = blocks.withColumn("run", F.floor((number - 1) / length)).groupBy("dim", "run").agg(F.collect_list(F.struct("file", "range_size")).alias("blocks"))
     work = runs.join(groups_, "dim")
     work = materialize(work.select("blocks", "queries"), "ann-work")
 
