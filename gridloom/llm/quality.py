@@ -70,34 +70,41 @@ class Model:
 
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
-        self.cache: dict[bytes, tuple[float, int]] = {}
-
-    def _sums(self, words: list[bytes]) -> list[tuple[float, int]]:
-        """The mean weight of each word's features, and its hash."""
-        buckets, starts = word_features(words)
-        sizes = np.diff(np.append(starts, len(buckets)))
-        return list(zip((np.add.reduceat(self.weights[buckets], starts) / sizes).tolist(), map(xxhash.xxh3_64_intdigest, words), strict=True))
+        self.at: dict[bytes, int] = {}
+        self.means, self.hashes, self.used = np.zeros(1 << 12), np.zeros(1 << 12, np.uint64), 0
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Remembers the mean weight of each word's features, and its hash."""
+        for at in range(0, len(words), 1 << 14):
+            part = words[at : at + (1 << 14)]
+            buckets, starts = word_features(part)
+            need = self.used + len(part)
+            if need > len(self.means):
+                grown = max(need, 2 * len(self.means))
+                self.means, self.hashes = (np.concatenate([x[: self.used], np.zeros(grown - self.used, x.dtype)]) for x in (self.means, self.hashes))
+            self.means[self.used : need] = np.add.reduceat(self.weights[buckets], starts) / np.diff(np.append(starts, len(buckets)))
+            self.hashes[self.used : need] = np.fromiter(map(xxhash.xxh3_64_intdigest, part), np.uint64, len(part))
+            self.at.update(zip(part, range(self.used, need), strict=True))
+            self.used = need
 
     def scores(self, texts: list[bytes]) -> list[float]:
         split = [t.split() for t in texts]
-        new = {w for words in split for w in words if w not in self.cache}
-        if new and len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
-            new = {w for words in split for w in words}
-        todo, extra = list(new), {}
-        for at in range(0, len(todo), 1 << 14):
-            part = todo[at : at + (1 << 14)]
-            for w, x in zip(part, self._sums(part), strict=True):
-                (self.cache if len(w) <= CACHED_BYTES else extra)[w] = x
-        known = self.cache
+        if len(self.at) > CACHED_WORDS:
+            self.at.clear()
+            self.used = 0
+        new = list({w for words in split for w in words}.difference(self.at))
+        self._learn(new)
         out = []
         for words in split:
             z = self.bias
             if words:
-                values, hashes = zip(*([extra[w] if w in extra else known[w] for w in words] if extra else [known[w] for w in words]), strict=True)
-                pairs = self.weights[pair_buckets(np.array(hashes, np.uint64))]
-                z += (math.fsum(values) + float(pairs.sum())) / (2 * len(words) - 1)
+                own = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+                pairs = self.weights[pair_buckets(self.hashes[own])]
+                z += (float(self.means[own].sum()) + float(pairs.sum())) / (2 * len(words) - 1)
             out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, z)))))
+        for w in new:
+            if len(w) > CACHED_BYTES:
+                del self.at[w]
         return out
 
 
