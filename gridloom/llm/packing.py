@@ -17,6 +17,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -122,29 +123,29 @@ def differencing(sizes: list[int], count: int) -> list[list[int]]:
     """
     if count <= 1 or not sizes:
         return [list(range(len(sizes))), *([] for _ in range(count - 1))]
-    # entries: (-spread, tie, windows): windows is a list of (excess, members) for the non-level windows, fullest first
-    heap = [(-size, i, [(size, [i])]) for i, size in enumerate(sizes)]
+    # entries: (-spread, tie, windows): windows lists (-excess, members) of the non-level windows, fullest first
+    heap = [(-size, i, [(-size, (i,))]) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
     tie = len(sizes)
+    fullest = itemgetter(0)
     while len(heap) > 1:
         _, _, a = heapq.heappop(heap)
-        _, _, b = heapq.heappop(heap)
+        _, _, b = heap[0]
         meet = len(a) + len(b) - count  # non-level windows that have to share
-        if meet <= 0:
-            merged = sorted(a + b, key=lambda w: -w[0])
-            level = 0 if len(merged) < count else merged[-1][0]
+        if meet < 0:
+            merged = a + b
+            merged.sort(key=fullest)
         else:
             # the least of a takes the fullest of b's that it must share with, in opposite order
-            share_a, share_b = a[len(a) - meet :], b[len(b) - meet :]
             merged = a[: len(a) - meet] + b[: len(b) - meet]
-            merged += [(x[0] + y[0], x[1] + y[1]) for x, y in zip(share_a, reversed(share_b), strict=True)]
-            merged.sort(key=lambda w: -w[0])
-            level = merged[-1][0]
-        # windows at the level carry members but no excess: all but empty ones stay listed
-        windows = [(s - level, m) for s, m in merged]
-        heapq.heappush(heap, (-windows[0][0], tie, windows))
+            merged += [(x[0] + y[0], x[1] + y[1]) for x, y in zip(a[len(a) - meet :], reversed(b[len(b) - meet :]), strict=True)]
+            merged.sort(key=fullest)
+            # windows at the level carry members but no excess: all but empty ones stay listed
+            if level := merged[-1][0]:
+                merged = [(s - level, m) for s, m in merged]
+        heapq.heapreplace(heap, (merged[0][0], tie, merged))
         tie += 1
-    windows = [m for _, m in heap[0][2]]
+    windows = [list(m) for _, m in heap[0][2]]
     return windows + [[] for _ in range(count - len(windows))]
 
 
