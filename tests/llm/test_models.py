@@ -8,6 +8,7 @@ from zlib import crc32
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridloom.llm import pii, quality, toxicity
@@ -161,6 +162,62 @@ def test_labelled_sample_is_bounded_and_defined(spark):
     assert 2 <= len(small) <= 8 and labelled_sample(docs.limit(0), labels, "toxic") == ([], 0.5)
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """Words of the 3,001st row of a class, in the order in which samples were drawn, and of all after it."""
+    ids = spark.range(10_000).withColumnRenamed("id", "doc_id").withColumn("toxic", (F.col("doc_id") % 2).cast("int"))
+    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    usable = ids.where(~held_out(F.col("doc_id"))).withColumn("n", rank)
+    late = F.col("n") > 3000
+    word = F.when(F.col("toxic") == 0, F.when(late, "sunny").otherwise("calm")).otherwise(F.when(late, "wretched").otherwise("vile"))
+    docs = usable.select("doc_id", F.concat(F.lit("the "), word, F.lit(" "), (F.col("doc_id") % 7).cast("string")).alias("text"), F.lit("en").alias("lang")).cache()
+    assert docs.where("text LIKE '%wretched%'").count() > 500
+    model = toxicity.fit(docs, ids)
+    for w in (b"calm", b"vile", b"sunny", b"wretched"):
+        assert all(model.embedding[k].any() for k in toxicity.word_buckets(w))
+    calm, sunny, vile, wretched = model.scores([b"the calm 1", b"the sunny 1", b"the vile 1", b"the wretched 1"])
+    assert max(calm, sunny) < 0.5 <= min(vile, wretched)
+
+
+def test_thresholds_of_a_table_equal_those_of_a_list(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([None, "de", "en", "fr", "xx"]), round(rng.random(), 2), rng.randint(0, 1)) for _ in range(900)]
+    rows += [("one", 0.3, 1), ("none", 0.7, 0), ("low", 0.0, 1), ("tie", 0.8, 1), ("tie", 0.2, 1), ("tie", 0.2, 0)]
+    table = spark.createDataFrame(rows, "lang string, score double, label int").repartition(5)
+    got = {r["scope"]: r for r in toxicity.best_thresholds(table, F.col("lang")).collect()}
+    assert set(got) == {x for x, *_ in rows}
+    for lang, r in got.items():
+        own = [(s, y) for x, s, y in rows if x == lang]
+        assert (r["n"], r["toxic"]) == (len(own), sum(y for _, y in own))
+        assert r["threshold"] == toxicity.best_threshold([s for s, _ in own], [y for _, y in own])
+
+
+def test_toxicity_shards(spark, tables, monkeypatch):
+    """Several shards: the same model from any layout and from repeated rows, and nearly all labels told."""
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 60)
+    docs, labels = tables
+    a = toxicity.fit(docs, labels)
+    b = toxicity.fit(docs.unionAll(docs).repartition(7, "text"), labels.unionAll(labels).repartition(3))
+    assert (a.embedding == b.embedding).all() and (a.layer == b.layer).all() and (a.bias, a.by_language) == (b.bias, b.by_language)
+    got = toxicity.score(docs, a).join(labels, "doc_id").select(F.col("score") >= 0.5, "toxic").collect()
+    assert sum(p == y for p, y in got) >= 0.9 * len(got)
+    same = docs.limit(30).withColumn("text", F.lit("all rows have one text"))
+    some = same.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    assert len({r["score"] for r in toxicity.score(same, toxicity.fit(same, some)).collect()}) == 1
+
+
+def test_segments_hold_every_row(monkeypatch):
+    rows = [(f"text {i} {'a' * (i % 9)}".encode(), None, i % 2) for i in range(200)] + [(b"", "en", 0)]
+    monkeypatch.setattr(toxicity, "SEGMENT_WORDS", 100)
+    parts = list(toxicity.segments_of(rows))
+    assert len(parts) > 10 and sum(len(s.labels) for _, s in parts) == len(rows)
+    assert sum(map(sum, (s.labels for _, s in parts))) == 100
+    monkeypatch.setattr(toxicity, "BATCH_WORDS", 7)
+    bags = parts[0][1].bags
+    batches = list(toxicity._batches(bags, np.arange(len(bags))))
+    assert sorted(i for b in batches for i in b) == list(range(len(bags)))
+    assert all(len(b) == 1 or sum(len(bags[i]) for i in b) <= 7 for b in batches)
+
+
 # ---- personal data -------------------------------------------------------------------------------------------------
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
