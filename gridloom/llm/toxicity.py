@@ -23,7 +23,9 @@ from __future__ import annotations
 import math
 import pickle
 import struct
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
+from itertools import count, islice
 from typing import BinaryIO, NamedTuple
 from zlib import crc32
 
@@ -60,8 +62,13 @@ LEAST_OF_CLASS = 5
 LANGUAGE_ROWS, LANGUAGE_TOXIC = 100, 15
 #: Words in one pass of the filters, and words that a worker remembers: memory bounds without influence on results.
 SLICE_WORDS, CACHED_WORDS, CACHED_BYTES = 1 << 16, 300_000, 48
+#: Words whose rows are looked up at a time, so that they stay near the processor: without influence on results.
+NEAR_WORDS = 1 << 12
 
 _EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: CRC-32 by bytes, and what a start at n changes in it after n bytes.
+_CRC = np.array([crc32(bytes([i ^ 0xFF])) ^ 0xFF000000 for i in range(256)], np.uint32)
+_STARTS = {n: np.uint32(crc32(bytes(n), n) ^ crc32(bytes(n))) for n in PREFIXES}
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -76,6 +83,35 @@ def word_buckets(word: bytes) -> list[int]:
     return [k % (BUCKETS - 1) + 1 for k in keys]
 
 
+def bucket_table(words: list[bytes]) -> np.ndarray:
+    """word_buckets() of every word, filled up with bucket 0. The prefixes of a word have one CRC, byte by byte, for all
+    words at once."""
+    bare = [w.strip(_EDGES) or w for w in words]
+    out = np.zeros((len(bare), 1 + len(PREFIXES)), np.uint16)
+    out[:, 0] = np.fromiter(map(crc32, bare), np.uint32, len(bare)) % (BUCKETS - 1) + 1
+    longest = max(PREFIXES)
+    heads = [w[: longest + 1] for w in bare]
+    sizes = np.fromiter(map(len, heads), np.int64, len(heads))
+    at = np.cumsum(sizes) - sizes
+    flat = np.frombuffer(b"".join(heads) + bytes(longest), np.uint8)
+    state = np.full(len(bare), 0xFFFFFFFF, np.uint32)
+    for n in range(1, longest + 1):
+        state = _CRC[(state ^ flat[at + n - 1]) & 0xFF] ^ (state >> 8)
+        if n in PREFIXES:
+            keys = (state ^ 0xFFFFFFFF ^ _STARTS[n]) % (BUCKETS - 1) + 1
+            out[:, 1 + PREFIXES.index(n)] = np.where(sizes > n, keys, 0)
+    return out
+
+
+def numbering(start: dict[bytes, int] | None = None) -> defaultdict[bytes, int]:
+    """Gives every new word the next number, from 1."""
+    return defaultdict(count(1).__next__, start or {})
+
+
+def numbers_of(words: list[bytes], numbers: defaultdict[bytes, int]) -> np.ndarray:
+    return np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
+
+
 def in_order(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """rows @ weights, each sum taken term by term in order. A library's product sums a row in an order that depends on
     its place among the rows and on their number, so equal texts in different company would differ in the last digits."""
@@ -106,7 +142,9 @@ class Segment(NamedTuple):
         """How many of the documents have each bucket."""
         out = np.zeros(BUCKETS, np.int64)
         for bag in self.bags:
-            out[np.unique(self.table[np.unique(bag)])] += 1
+            has = np.zeros(BUCKETS, bool)
+            has[self.table[bag]] = True
+            out += has
         return out
 
 
@@ -117,11 +155,8 @@ def segments_of(rows: Iterable[tuple[bytes, str | None, int]]) -> Iterator[tuple
 
     def closed(aside: bool) -> tuple[bool, Segment]:
         numbers, bags, labels, langs = begun.pop(aside)
-        table = np.zeros((len(numbers), 1 + len(PREFIXES)), np.uint16)
-        for i, w in enumerate(numbers):
-            if i:
-                own = word_buckets(w)
-                table[i, : len(own)] = own
+        table = bucket_table(list(numbers))
+        table[0] = 0
         if len(numbers) <= 1 << 16:
             bags = [bag.astype(np.uint16) for bag in bags]
         return aside, Segment(bags, table, labels, langs)
@@ -129,9 +164,9 @@ def segments_of(rows: Iterable[tuple[bytes, str | None, int]]) -> Iterator[tuple
     held = {False: 0, True: 0}
     for raw, lang, label in rows:
         aside = crc32(raw) % 5 == 1
-        numbers, bags, labels, langs = begun.setdefault(aside, ({b"": 0}, [], [], []))  # no word is empty: 0 is padding
+        numbers, bags, labels, langs = begun.setdefault(aside, (numbering({b"": 0}), [], [], []))  # no word is empty: 0 is padding
         words = words_of(raw)
-        bags.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int32, len(words)))
+        bags.append(numbers_of(words, numbers))
         labels.append(label)
         langs.append(lang)
         held[aside] += len(words) + 16
@@ -150,66 +185,73 @@ class Model:
         self.common, self.by_language = common, by_language or {}
         taps = [f[t * DIMENSIONS : (t + 1) * DIMENSIONS] for f in filters for t in range(f.shape[0] // DIMENSIONS)]
         self._taps = np.concatenate(taps, axis=1).astype(np.float32)
-        self._at: dict[bytes, int] = {}
+        self._at = numbering()
         self._rows = np.zeros((1, self._taps.shape[1]), np.float32)  # row 0 is padding
         self._used = 1
 
     def _learn(self, words: list[bytes]) -> None:
-        buckets = [word_buckets(w) for w in words]
-        sizes = np.fromiter(map(len, buckets), np.int64, len(buckets))
-        flat = np.fromiter((k for x in buckets for k in x), np.int64, int(sizes.sum()))
-        vectors = np.add.reduceat(self.embedding[flat], np.cumsum(sizes) - sizes)
+        """Rows of words that have got the next numbers."""
         need = self._used + len(words)
         if need > len(self._rows):
             more = np.zeros((max(need, min(2 * len(self._rows), CACHED_WORDS + need)), self._rows.shape[1]), np.float32)
             more[: self._used] = self._rows[: self._used]
             self._rows = more
-        self._rows[self._used : need] = in_order(vectors, self._taps)
-        self._at.update(zip(words, range(self._used, need), strict=True))
+        table = bucket_table(words)
+        for begin in range(0, len(words), NEAR_WORDS):
+            buckets = table[begin : begin + NEAR_WORDS]
+            vectors = self.embedding[buckets[:, 1]]
+            for k in range(2, buckets.shape[1]):
+                vectors += self.embedding[buckets[:, k]]
+            vectors += self.embedding[buckets[:, 0]]
+            self._rows[self._used + begin : self._used + begin + len(buckets)] = in_order(vectors, self._taps)
         self._used = need
 
     def _pooled(self, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Largest value of each filter in each segment. at: word rows. The last two of a segment begin no window: they
         are padding, or belong to the segment after."""
-        best = []
-        column = 0
-        ends = np.append(starts[1:], len(at) - 2)
-        idle = np.concatenate([ends - 2, ends - 1])
-        for width, shift in zip(WIDTHS, self.shifts, strict=True):
-            n = len(at) - 2
-            total = self._rows[at[:n], column : column + FILTERS]
-            for tap in range(1, width):
-                total += self._rows[at[tap : n + tap], column + tap * FILTERS : column + (tap + 1) * FILTERS]
-            column += width * FILTERS
-            total[idle] = -np.inf
-            best.append(np.maximum.reduceat(total, starts) + shift.astype(np.float32))
-        return np.maximum(np.concatenate(best, axis=1), 0)
+        n = len(at) - 2
+        total = np.empty((n, len(WIDTHS) * FILTERS), np.float32)
+        for begin in range(0, n, NEAR_WORDS):
+            own = total[begin : begin + NEAR_WORDS]
+            rows = self._rows.take(at[begin : begin + len(own) + 2], axis=0)
+            column = 0
+            for k, width in enumerate(WIDTHS):
+                out = own[:, k * FILTERS : (k + 1) * FILTERS]
+                out[:] = rows[: len(own), column : column + FILTERS]
+                for tap in range(1, width):
+                    out += rows[tap : len(own) + tap, column + tap * FILTERS : column + (tap + 1) * FILTERS]
+                column += width * FILTERS
+        ends = np.append(starts[1:], n)
+        total[np.concatenate([ends - 2, ends - 1])] = -np.inf
+        best = np.maximum.reduceat(total, starts) + np.concatenate(self.shifts).astype(np.float32)
+        return np.maximum(best, 0)
 
     def _documents(self, split: list[list[bytes]]) -> np.ndarray:
-        new = {w for words in split for w in words if w not in self._at}
-        if new:
-            if len(self._at) > CACHED_WORDS:
-                self._at.clear()
-                self._used = 1
-                new = {w for words in split for w in words}
-            self._learn(list(new))
-        known = self._at
-        return self._of_rows([[known[w] for w in words] for words in split])
-
-    def _of_rows(self, split: list[list[int]]) -> np.ndarray:
+        if len(self._at) > CACHED_WORDS:
+            self._forget()
+        rows = [numbers_of(words, self._at) for words in split]
+        if new := len(self._at) + 1 - self._used:
+            self._learn([*islice(reversed(self._at), new)][::-1])
+        return self._of_rows(rows)
+
+    def _forget(self) -> None:
+        self._at = numbering()
+        self._used = 1
+
+    def _of_rows(self, split: list[np.ndarray]) -> np.ndarray:
         at, starts, owners, size = [], [], [], 0
+        pad = np.zeros(2, np.int32)
         for i, rows in enumerate(split):
-            rows = rows or [0]
+            rows = rows if len(rows) else pad[:1]
             for begin in range(0, len(rows), SLICE_WORDS):
                 # a slice runs on for two words, so that no window is lost; padding follows the last only
                 part = rows[begin : begin + SLICE_WORDS + 2]
-                part = part + [0] * (min(SLICE_WORDS, len(rows) - begin) + 2 - len(part))
+                least = min(SLICE_WORDS, len(rows) - begin) + 2
                 starts.append(size)
                 owners.append(i)
-                at += part
-                size += len(part)
-        at = np.array([*at, 0, 0], np.int64)
-        pooled = self._pooled(at, np.array(starts, np.int64))
+                at += part, pad[: least - len(part)]
+                size += least
+        pooled = self._pooled(np.concatenate([*at, pad]), np.array(starts, np.int64))
         if len(owners) == len(split):
             return pooled
         out = np.full((len(split), pooled.shape[1]), -np.inf, np.float32)
@@ -240,12 +282,11 @@ class Model:
 
     def logits(self, segment: Segment) -> list[float]:
         """Of all documents of a segment, before the logistic function; what the model remembers of words is lost."""
-        self._at.clear()
-        self._used = 1
+        self._forget()
         self._rows = in_order(self.embedding[segment.table].sum(1), self._taps)
         out, group, held = [], [], 0
         for bag in segment.bags:
-            group.append(bag.tolist())
+            group.append(bag)
             held += len(bag)
             if held >= SLICE_WORDS:
                 out += self._logits(self._of_rows(group))
@@ -297,11 +338,17 @@ def _descend(state: dict, segments: Iterable[Segment], rate: float, seed: list[i
     rng = np.random.default_rng(seed)
     for segment in segments:
         bags, table, y = segment.bags, segment.table, np.array(segment.labels, float)
+        number = np.zeros(len(table), np.int64)
         for some in _batches(bags, rng.permutation(len(bags))):
             parts = [x for i in some for x in (bags[i] if len(bags[i]) else pad[:1], pad)]
             sizes = np.array([max(1, len(bags[i])) + len(pad) for i in some])
             starts = np.cumsum(sizes) - sizes
-            words, place = np.unique(np.concatenate(parts), return_inverse=True)
+            flat = np.concatenate(parts)
+            number[flat] = 1
+            words = np.flatnonzero(number)
+            number[words] = np.arange(len(words))
+            place = number[flat]
+            number[words] = 0
             vectors = embedding[table[words]].sum(1)
             n = len(place) - len(pad)
             owner = np.repeat(np.arange(len(some)), sizes)[:n]
@@ -309,12 +356,12 @@ def _descend(state: dict, segments: Iterable[Segment], rate: float, seed: list[i
             idle = idle[idle < n]
             tops, pooled = [], []
             for w, f, s in zip(WIDTHS, filters, shifts, strict=True):
-                values = (vectors @ f[:DIMENSIONS])[place[:n]]
+                values = (vectors @ f[:DIMENSIONS]).take(place[:n], axis=0)
                 for t in range(1, w):
-                    values += (vectors @ f[t * DIMENSIONS : (t + 1) * DIMENSIONS])[place[t : n + t]]
+                    values += (vectors @ f[t * DIMENSIONS : (t + 1) * DIMENSIONS]).take(place[t : n + t], axis=0)
                 values[idle] = -np.inf
                 best = np.maximum.reduceat(values, starts)
-                won, column = np.nonzero(values == best[owner])
+                won, column = np.nonzero(values == best.take(owner, axis=0))
                 top = np.empty(best.shape, np.int64)
                 top[owner[won[::-1]], column[::-1]] = won[::-1]  # of equal windows the first
                 tops.append(top)

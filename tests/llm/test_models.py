@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import sys
 from zlib import crc32
 
 import numpy as np
@@ -218,6 +219,53 @@ def test_segments_hold_every_row(monkeypatch):
     assert all(len(b) == 1 or sum(len(bags[i]) for i in b) <= 7 for b in batches)
 
 
+def calls_in(run):
+    """Calls that the interpreter makes, of Python and of C functions: a measure of work that no machine changes."""
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    before = sys.getprofile()
+    sys.setprofile(count)
+    try:
+        run()
+    finally:
+        sys.setprofile(before)
+    return calls
+
+
+def test_toxicity_makes_few_calls_a_word(tables):
+    """However many words are new: of the words of a web table most distinct ones are rare."""
+    model = toxicity.train([(r["text"], r["lang"], r["doc_id"] % 2) for r in tables[0].limit(100).collect()], 0.5)
+    texts = [" ".join(f"word{k * 500 + i}s," for i in range(500)).encode() for k in range(40)]
+    assert calls_in(lambda: model.scores(texts)) < 3 * 20_000
+    assert calls_in(lambda: list(toxicity.segments_of((t, None, 0) for t in texts))) < 3 * 20_000
+
+
+def test_bucket_table_equals_buckets_of_words():
+    rng = random.Random(12)
+    words = [bytes(rng.randrange(256) for _ in range(n)) for n in range(1, 12) for _ in range(200)]
+    words += [b"!!!", b'"abc"', b"(abcd).", b"\x00\x00\x00\x00", b"a" * 100_000, "größer".encode()]
+    table = toxicity.bucket_table(words)
+    assert table.shape == (len(words), 1 + len(toxicity.PREFIXES)) and len(toxicity.bucket_table([])) == 0
+    for w, row in zip(words, table.tolist(), strict=True):
+        own = toxicity.word_buckets(w)
+        assert row == own + [0] * (len(row) - len(own))
+
+
+def test_forgotten_words_do_not_change_scores(tables, monkeypatch):
+    docs, labels = tables
+    model = toxicity.fit(docs, labels)
+    some = [r["text"].encode() for r in docs.limit(60).collect()]
+    want = model.scores(some)
+    monkeypatch.setattr(toxicity, "SLICE_WORDS", 500)
+    monkeypatch.setattr(toxicity, "CACHED_WORDS", 300)
+    monkeypatch.setattr(toxicity, "NEAR_WORDS", 64)
+    assert model.scores(some) == want
+
+
 # ---- personal data -------------------------------------------------------------------------------------------------
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
