@@ -6,6 +6,7 @@ has none, a local master (tests, a laptop) gets a temporary folder, once for the
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -82,10 +83,43 @@ def make_folder(spark: SparkSession, path: str) -> str:
     return path
 
 
+#: By the module of an operator, how a worker drops what it remembers from task to task.
+_FORGET: dict[str, Callable[[], None]] = {}
+
+
+def remembers(module: str, forget: Callable[[], None]) -> None:
+    """Registers an operator whose workers remember something from task to task, until they get a task of another one."""
+    _FORGET[module] = forget
+
+
+def forget_others(module: str) -> None:
+    """Drops what this worker remembers of other operators: workers outlive a stage, and an executor's memory is for one."""
+    for other, forget in _FORGET.items():
+        if other != module:
+            forget()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system. Else allocators keep it, and a worker holds the most that any task before took."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow over short batches."""
+    """mapInArrow over short batches. Before it, a worker drops what it remembers of other operators; after it, memory goes
+    back to the system."""
     short_batches(session_of(df))
-    return df.mapInArrow(fn, schema)
+    module = fn.__module__
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(module)
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from gridloom.llm.common import map_batches, text_bytes
+from gridloom.llm.common import give_back, map_batches, remembers, text_bytes
 
 CAPACITY = 4096
 #: Rests that are packed together, at most; bounds the memory of a task and the work of the differencing.
@@ -63,6 +63,7 @@ class WordIds:
     def of(cls, path: str) -> WordIds:
         if path not in cls._known:
             cls._known[path] = cls(path)
+            give_back()  # reading the file takes as much again as the tokenizers
         return cls._known[path]
 
     def _split(self, ids: list[int]) -> list[bytes]:
@@ -115,6 +116,9 @@ class WordIds:
         return [b"".join(ids) for ids in found]
 
 
+remembers(__name__, WordIds._known.clear)
+
+
 def differencing(sizes: list[int], count: int) -> list[list[int]]:
     """Karmarkar-Karp multiway differencing: positions of ``sizes`` in each of ``count`` windows, fullest first.
 

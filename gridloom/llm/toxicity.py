@@ -60,8 +60,9 @@ LEAST_OF_CLASS = 5
 #: Rows set aside of a language, and toxic ones among them, that a threshold of its own needs; so many toxic ones the
 #: common threshold needs too, which else is one half.
 LANGUAGE_ROWS, LANGUAGE_TOXIC = 100, 15
-#: Words in one pass of the filters, and words that a worker remembers: memory bounds without influence on results.
-SLICE_WORDS, CACHED_WORDS, CACHED_BYTES = 1 << 16, 300_000, 48
+#: Words in one pass of the filters, and words that a worker remembers: memory bounds without influence on results. More
+#: words would not save time: most are rare, and rows of the others are farther apart.
+SLICE_WORDS, CACHED_WORDS, CACHED_BYTES = 1 << 16, 60_000, 48
 #: Words whose rows are looked up at a time, so that they stay near the processor: without influence on results.
 NEAR_WORDS = 1 << 12
 
@@ -292,7 +293,7 @@ class Model:
                 out += self._logits(self._of_rows(group))
                 group, held = [], 0
         out += self._logits(self._of_rows(group)) if group else []
-        self._rows = self._rows[:1]
+        self._rows = self._rows[:1].copy()  # a view would keep all rows
         return out
 
     def threshold(self, lang: str | None) -> float:

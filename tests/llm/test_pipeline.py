@@ -1,6 +1,7 @@
 """The pipeline, its stages and the registered queries."""
 
 import duckdb
+import pyarrow as pa
 import pytest
 from test_duplicates import brute, brute_dedup
 from test_models import brute as personal
@@ -10,7 +11,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from gridloom.llm import minhash, packing, pii, stages, substring, toxicity
-from gridloom.llm.common import materialize
+from gridloom.llm.common import map_batches, materialize
 from gridloom.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -92,6 +93,20 @@ def test_run(spark):
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(out.columns) and out.count() > 50
 
 
+def test_workers_remember_one_operator_at_a_time(spark, docs):
+    """What packing remembers of words does not stay in a worker beside the next stage's memory."""
+
+    def known(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(packing.WordIds._known)] * b.num_rows, pa.int64())], names=["n"])
+
+    tasks = spark.range(0, 64, 1, 16)
+    most = lambda df: df.agg({"n": "max"}).first()[0]
+    packing.pack(docs, WORDS).collect()
+    assert most(tasks.mapInArrow(known, "n long")) == 1
+    assert most(map_batches(tasks, known, "n long")) == 0
+
+
 @pytest.mark.parametrize("name", [n for n in QUERIES if n in ORACLE_SQL])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
