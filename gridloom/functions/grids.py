@@ -247,11 +247,12 @@ def _clamp(c: Column) -> Column:
 
 @dataclass(frozen=True)
 class RotatedGrid(ProjectedGrid):
-    """Latitude and longitude about a moved pole."""
+    """Latitude and longitude about a moved pole. Beyond a native pole, where allowed, a column goes on across it."""
 
     north_pole_latitude: float = 90.0
     north_pole_longitude: float = 0.0
     rotation: float = 0.0
+    beyond_poles: bool = False
 
     kind = "rotated_latlon"
 
@@ -260,7 +261,7 @@ class RotatedGrid(ProjectedGrid):
         if abs(self.north_pole_latitude) > 90:
             raise bad("north_pole_latitude must lie within [-90, 90]")
         ends = (self.y0, self.y0 + (self.ny - 1) * self.dy)
-        if min(ends) < -90 or max(ends) > 90:
+        if not self.beyond_poles and (min(ends) < -90 or max(ends) > 90):
             raise bad("native latitudes must lie within [-90, 90]")
 
     def _numbers(self):
@@ -274,7 +275,12 @@ class RotatedGrid(ProjectedGrid):
             lon, lat = deg(u + (kind(self.rotation) - kind(180))), deg(v)
             sine = np.cos(tilt) * np.sin(lat) - np.cos(lon) * np.sin(tilt) * np.cos(lat)
             out = -np.arcsin(np.clip(sine, kind(-1), kind(1)))
-            east = -(np.arctan2(np.sin(lon), np.tan(lat) * np.sin(tilt) + np.cos(lon) * np.cos(tilt)) - turn)
+            across, along = np.sin(lon), np.tan(lat) * np.sin(tilt) + np.cos(lon) * np.cos(tilt)
+            if self.beyond_poles:
+                # both are divided by the cosine of the native latitude, which is negative there
+                back = np.cos(lat) < 0
+                across, along = np.where(back, -across, across), np.where(back, -along, along)
+            east = -(np.arctan2(across, along) - turn)
             return out * kind(180) / pi, east * kind(180) / pi
         x, y, z = self._vector(np, np.radians(v), np.radians(u + self.rotation))
         lat = np.degrees(np.arcsin(np.clip(z, -1.0, 1.0)))

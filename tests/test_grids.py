@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from gridloom.errors import BindError
-from gridloom.functions.grids import FLOAT64, GaussianRow, LambertGrid, RotatedGrid, Segment, StereographicGrid, gaussian, parse_grid
+from gridloom.functions.grids import FLOAT32, FLOAT64, GaussianRow, LambertGrid, RotatedGrid, Segment, StereographicGrid, gaussian, parse_grid
 from gridloom.plans import domains
 from gridloom.plans.identity import grid_id
 
@@ -77,6 +77,23 @@ def test_expressions_agree_with_numpy(spark, grid):
     assert np.allclose(got[:, 2], want[0], atol=1e-9) and np.allclose(got[:, 3], want[1], atol=1e-9)
 
 
+@pytest.mark.parametrize("policy", [FLOAT64, FLOAT32])
+def test_native_latitudes_beyond_poles(policy):
+    """A column that goes on across a native pole meets the points of the opposite meridian."""
+    more = {"dx": 90.0, "dy": 30.0, "north_pole_latitude": 39.25, "north_pole_longitude": -162.0, "rotation": 10.0, "policy": policy}
+    with pytest.raises(BindError):
+        RotatedGrid(4, 13, x0=0.0, y0=-75.0, **more)
+    tall = RotatedGrid(4, 13, x0=0.0, y0=-75.0, beyond_poles=True, **more)
+    y, x = np.divmod(np.arange(tall.points), 4)
+    native = -75.0 + 30 * y
+    over = (native > 90) & (native < 270)
+    plain = RotatedGrid(4, 6, x0=0.0, y0=-75.0, **more)
+    row = np.where(over, (180 - native + 75) / 30, (native - np.where(native >= 270, 360, 0) + 75) / 30).astype(int)
+    got, want = tall.coordinates_of(x, y), plain.coordinates_of((x + np.where(over, 2, 0)) % 4, row)
+    turn = (np.asarray(got[1], float) - want[1] + 180) % 360 - 180
+    assert np.abs(got[0] - want[0]).max() < 1e-4 and np.abs(turn).max() < 1e-4
+
+
 ROWS = (GaussianRow(60.0, 3, 0.0, 120.0), GaussianRow(20.0, 5, 0.0, 72.0), GaussianRow(-20.0, 5, 0.0, 72.0), GaussianRow(-60.0, 3, 0.0, 120.0))
 
 
