@@ -231,9 +231,13 @@ class ProjectedGrid(Grid):
     def coordinates(self, x: Column, y: Column) -> tuple[Column, Column]:
         if self.policy == FLOAT32:
             return super().coordinates(x, y)
-        lat, lon = self._columns(F.lit(self.x0) + x.cast("double") * F.lit(self.dx), F.lit(self.y0) + y.cast("double") * F.lit(self.dy))
+        lat, lon = self.unwound(x, y)
         return lat, normalized_longitude(lon)
 
+    def unwound(self, x: Column, y: Column) -> tuple[Column, Column]:
+        """Latitude and longitude in double precision, before longitudes are brought into [-180, 180)."""
+        return self._columns(F.lit(self.x0) + x.cast("double") * F.lit(self.dx), F.lit(self.y0) + y.cast("double") * F.lit(self.dy))
+
     def _inverse(self, u, v, kind):
         raise NotImplementedError
 
